@@ -65,7 +65,7 @@ def class_scores(matrix: DataFrame, group: tuple[str, ...] = GROUP) -> DataFrame
     cells = matrix.select(*group, F.explode(sides).alias("s")).select(*group, "s.*")
     per = cells.groupBy(*group, "label").agg(*[F.sum(c).alias(c) for c in ("tp", "fn", "fp")])
     totals = matrix.groupBy(*group).agg(F.sum("n").alias("_all"))
-    scored = per.join(totals, list(group)) if group else per.crossJoin(totals)
+    scored = per.join(totals, list(group))
     precision = ratio(F.col("tp"), F.col("tp") + F.col("fp"))
     recall = ratio(F.col("tp"), F.col("tp") + F.col("fn"))
     return scored.select(

@@ -82,30 +82,16 @@ def label_domain(instances: DataFrame, known: DataFrame | None = None) -> DataFr
 
 
 def category_dictionary(records: DataFrame, dataset: list[str]) -> DataFrame:
-    """Categories of text features, numbered in text order per feature.
+    """Categories of text features, numbered from 0 by first appearance.
 
-    Distinct values are aggregated first; only they are ranked.
+    Distinct values are aggregated first; only they are ranked, so an index
+    stays valid when later records bring new categories.
     """
-    values = records.select(*dataset, F.explode("fields").alias("feature", "value"))
+    values = records.select(*dataset, "seq", F.explode("fields").alias("feature", "value"))
     texts = values.where(coercion.typed_kind(F.col("value")) == "categorical")
-    distinct = texts.select(*dataset, "feature", F.trim("value").alias("value")).distinct()
-    bucketed = distinct.repartitionByRange(*dataset, "feature", "value")
-    return _dense_index(bucketed, [*dataset, "feature"])
-
-
-def _dense_index(distinct: DataFrame, keys: list[str]) -> DataFrame:
-    # Two levels: counts per leading characters, then ranks inside them.
-    head = F.substring("value", 1, 8)
-    base = distinct.withColumn("_head", head)
-    from pyspark.sql import Window as W
-
-    counts = base.groupBy(*keys, "_head").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy(*keys).orderBy("_head").rowsBetween(W.unboundedPreceding, -1)
-    carried = counts.select(*keys, "_head", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = W.partitionBy(*keys, "_head").orderBy("value")
-    return base.join(carried, [*keys, "_head"]).select(
-        *keys, "value", (F.col("_before") + F.row_number().over(inside) - 1).cast("int").alias("idx")
-    )
+    first = texts.groupBy(*dataset, "feature", F.trim("value").alias("value")).agg(F.min("seq").alias("first_seq"))
+    ranked = rank_in_order(first, [*dataset, "feature"], "first_seq", "idx")
+    return ranked.withColumn("idx", (F.col("idx") - 1).cast("int"))
 
 
 def typed_number(text: Column, category: Column) -> Column:
