@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,9 @@ from ..functions.scans import newest
 from ..schema import BY_NAME
 from .base import PREDICTION, State
 
+# The task-side helpers travel with the job, so executors need no installed copy.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 DEFAULTS = BY_NAME["knn"].defaults
 BROADCAST_CELLS = 4_000_000
 ROWS_PER_GROUP = 50_000

@@ -25,7 +25,7 @@ def throughput_buckets(stream: DataFrame, keys: list[str], order: str = "seq", t
     start = F.coalesce(F.lag("last_ts").over(in_order), F.col("first_ts"))
     origin = F.min("first_ts").over(W.partitionBy(*keys))
     total = F.sum("records").over(in_order.rowsBetween(W.unboundedPreceding, 0))
-    micros = lambda a, b: (F.unix_micros(a) - F.unix_micros(b)) / F.lit(1e6)
+    micros = lambda a, b: (F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp"))) / F.lit(1e6)
     return per.select(
         *keys, "bucket", "records", total.alias("total_records"),
         ratio(F.col("records"), micros(F.col("last_ts"), start)).alias("rate"),
