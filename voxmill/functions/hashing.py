@@ -15,13 +15,13 @@ STRIDE = 40503
 GRAIN = 1000000
 
 
-def lcg(number: Column, seed: Column) -> Column:
-    """Deterministic draw in [0, GRAIN) from a row number and a seed."""
-    reduced = F.pmod(number.cast("long"), F.lit(MODULUS))
-    mixed = F.pmod(reduced * F.lit(MULTIPLIER) + F.lit(INCREMENT) + seed.cast("long") * F.lit(STRIDE), F.lit(MODULUS))
-    # a second step spreads the low bits of neighbouring numbers
-    again = F.pmod(mixed * F.lit(MULTIPLIER) + F.lit(INCREMENT), F.lit(MODULUS))
-    return F.pmod(F.floor(again / F.lit(64)).cast("long"), F.lit(GRAIN))
+def lcg_sql(number: str, seed: str) -> str:
+    """Deterministic draw in [0, GRAIN) from a row number and a seed.
+
+    The second step spreads the low bits of neighbouring numbers.
+    """
+    first = f"pmod(pmod(CAST({number} AS BIGINT), {MODULUS}) * {MULTIPLIER} + {INCREMENT} + CAST({seed} AS BIGINT) * {STRIDE}, {MODULUS})"
+    return f"pmod(CAST(floor(pmod({first} * {MULTIPLIER} + {INCREMENT}, {MODULUS}) / 64) AS BIGINT), {GRAIN})"
 
 
 def poisson_cuts(rate: float, top: int = 24) -> list[float]:
@@ -33,10 +33,8 @@ def poisson_cuts(rate: float, top: int = 24) -> list[float]:
     return cuts
 
 
-def poisson_weight(number: Column, seed: Column, rate: float = 6.0) -> Column:
+def poisson_weight(number: str, seed: str, rate: float = 6.0) -> Column:
     """Poisson draw by inverse distribution function."""
-    u = (lcg(number, seed) + F.lit(0.5)) / F.lit(float(GRAIN))
-    weight = F.lit(0)
-    for cut in poisson_cuts(rate):
-        weight = weight + F.when(u > F.lit(cut), F.lit(1)).otherwise(F.lit(0))
-    return weight
+    u = f"(({lcg_sql(number, seed)} + 0.5D) / {float(GRAIN)}D)"
+    cuts = ", ".join(f"{c!r}D" for c in poisson_cuts(rate))
+    return F.expr(f"aggregate(array({cuts}), named_struct('u', {u}, 'n', 0), (s, c) -> named_struct('u', s.u, 'n', s.n + int(s.u > c)), s -> s.n)")

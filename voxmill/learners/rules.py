@@ -132,7 +132,7 @@ class Rules:
             "model_id", F.lit(0).alias("tree_id"), F.col("hit.node_id").alias("node_id"), "seq", "x", "y", "label", "lo", "hi", "y0", "ysd",
             F.col("hit.mean").alias("mean"), F.lit(1).alias("w"), F.lit(0.0).alias("g"),
         )
-        hit = hit.withColumn("bins", ss.bins(F.col("x"), F.col("lo"), F.col("hi"))).withColumn("z", ss.centred(F.col("x"), F.col("lo"), F.col("hi")))
+        hit = hit.withColumn("bins", ss.bins()).withColumn("z", ss.centred())
         error = F.abs(F.col("y") - F.col("y0") - F.col("mean")) / F.nullif(F.col("ysd"), F.lit(0.0))
         errors = hit.withColumn("e", error).where("e IS NOT NULL").groupBy(*NODE).agg(
             F.max("seq").alias("at"), F.count(F.lit(1)).cast("double").alias("n"), F.sum("e").alias("sx"), F.sum(F.col("e") * F.col("e")).alias("sxx")

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import coercion
-from ..functions.hashing import lcg
+from ..functions.hashing import lcg_sql
 
 BINS = 32
 OWN, INHERITED = -1, -2
@@ -55,10 +55,12 @@ def bin_edges(instances: DataFrame) -> DataFrame:
     return spans.join(target, "model_id").select("model_id", F.col("s.lo").alias("lo"), F.col("s.hi").alias("hi"), "y0", "ysd")
 
 
-def bin_of(value: Column, lo: Column, hi: Column) -> Column:
-    """Equal-width bin; values outside the range go to the end bins, missing to 0."""
-    raw = F.floor((value - lo) / F.nullif(hi - lo, F.lit(0.0)) * F.lit(BINS))
-    return F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.coalesce(raw, F.lit(0)))).cast("int")
+def bins(x: str = "x", lo: str = "lo", hi: str = "hi") -> Column:
+    """Equal-width bins; values outside the range go to the end bins, missing to 0."""
+    return F.expr(
+        f"transform({x}, (v, i) -> int(greatest(0, least({BINS - 1}, "
+        f"coalesce(floor((v - get({lo}, i)) / nullif(get({hi}, i) - get({lo}, i), 0D) * {BINS}), 0)))))"
+    )
 
 
 def edge(lo: Column, hi: Column, bin_: Column) -> Column:
@@ -66,42 +68,26 @@ def edge(lo: Column, hi: Column, bin_: Column) -> Column:
     return lo + (hi - lo) * (bin_ + 1) / F.lit(BINS)
 
 
-def bins(x: Column, lo: Column, hi: Column) -> Column:
-    zipped = F.arrays_zip(x.alias("v"), lo.alias("lo"), hi.alias("hi"))
-    return F.transform(zipped, lambda z: bin_of(z["v"], z["lo"], z["hi"]))
-
-
-def centred(x: Column, lo: Column, hi: Column) -> Column:
+def centred(x: str = "x", lo: str = "lo", hi: str = "hi") -> Column:
     """Features scaled to [-0.5, 0.5] by the bin range; missing is 0."""
-    zipped = F.arrays_zip(x.alias("v"), lo.alias("lo"), hi.alias("hi"))
-    return F.transform(
-        zipped,
-        lambda z: F.coalesce(
-            F.greatest(F.lit(-0.5), F.least(F.lit(0.5), (z["v"] - z["lo"]) / F.nullif(z["hi"] - z["lo"], F.lit(0.0)) - 0.5)),
-            F.lit(0.0),
-        ),
+    return F.expr(
+        f"transform({x}, (v, i) -> coalesce(greatest(-0.5D, least(0.5D, "
+        f"(v - get({lo}, i)) / nullif(get({hi}, i) - get({lo}, i), 0D) - 0.5D)), 0D))"
     )
 
 
 def collect(routed: DataFrame) -> DataFrame:
-    """Statistics of routed rows (NODE, label, y, y0, w, bins, g, z).
+    """Statistics of routed rows (NODE, label, y, y0, w, bins, z, g).
 
     One aggregate with map-side combine: shuffled are only non-empty cells.
     ``sg`` sums the leaf-model gradient of each feature.
     """
-    padded = F.concat(
-        F.array(F.struct(F.lit(0).alias("bin"), F.lit(0.0).alias("z"))),
-        F.arrays_zip(F.col("bins").alias("bin"), F.col("z").alias("z")),
-    )
-    yc = F.coalesce(F.col("y") - F.col("y0"), F.lit(0.0))
-    long = routed.where("w > 0").select(
-        *NODE, F.coalesce("label", F.lit("")).alias("label"), "w", yc.alias("yc"), F.coalesce("g", F.lit(0.0)).alias("g"),
-        F.posexplode(padded).alias("pos", "c"),
-    )
-    w = F.col("w").cast("double")
-    return long.groupBy(*NODE, (F.col("pos") - 1).alias("pos"), F.col("c.bin").alias("bin"), "label").agg(
-        F.sum(w).alias("n"), F.sum(w * F.col("yc")).alias("sy"), F.sum(w * F.col("yc") * F.col("yc")).alias("syy"),
-        F.sum(w * F.col("g") * F.col("c.z")).alias("sg"),
+    long = routed.where("w > 0").selectExpr(
+        *NODE, "coalesce(label, '') AS label", "double(w) AS w", "coalesce(y - y0, 0D) AS yc", "coalesce(g, 0D) AS g",
+        "posexplode(concat(array(named_struct('bins', 0, 'z', 0D)), arrays_zip(bins, z))) AS (pos, c)",
+    ).selectExpr(*NODE, "label", "w", "yc", "g", "pos - 1 AS pos", "c.bins AS bin", "c.z AS z")
+    return long.groupBy(*STAT).agg(
+        F.sum("w").alias("n"), F.expr("sum(w * yc)").alias("sy"), F.expr("sum(w * yc * yc)").alias("syy"), F.expr("sum(w * g * z)").alias("sg")
     )
 
 
@@ -119,63 +105,55 @@ def prefix_sums(stats: DataFrame) -> DataFrame:
     of a label still carries the running sum.
     """
     per = stats.where("pos >= 0").groupBy(*NODE, "pos", "label").agg(
-        F.map_from_entries(F.collect_list(F.struct("bin", F.struct(*SUMS).alias("v")))).alias("h"),
-        *[F.sum(c).alias(c) for c in SUMS],
+        F.expr("map_from_entries(collect_list(struct(bin, struct(n, sy, syy))))").alias("h"), *[F.sum(c).alias(c) for c in SUMS]
     )
-    zero = F.struct(*[F.lit(0.0).alias(c) for c in SUMS])
-    left = F.transform(
-        F.sequence(F.lit(0), F.lit(BINS - 2)),
-        lambda b: F.aggregate(
-            F.sequence(F.lit(0), b), zero,
-            lambda s, i: F.struct(*[(s[c] + F.coalesce(F.try_element_at("h", i)[c], F.lit(0.0))).alias(c) for c in SUMS]),
-        ),
+    step = ", ".join(f"'{c}', s.{c} + coalesce(try_element_at(h, i).{c}, 0D)" for c in SUMS)
+    left = (
+        f"transform(sequence(0, {BINS - 2}), b -> aggregate(sequence(0, b), named_struct('n', 0D, 'sy', 0D, 'syy', 0D), "
+        f"(s, i) -> named_struct({step})))"
     )
-    return per.select(*NODE, "pos", "label", *SUMS, F.posexplode(left).alias("bin", "l")).select(
-        *NODE, "pos", "label", "bin", *[F.col(f"l.{c}").alias(f"l{c}") for c in SUMS], *SUMS
+    return per.selectExpr(*NODE, "pos", "label", *SUMS, f"posexplode({left}) AS (bin, l)").selectExpr(
+        *NODE, "pos", "label", "bin", *[f"l.{c} AS l{c}" for c in SUMS], *SUMS
     )
 
 
-def _plogp(c: Column) -> Column:
-    return F.when(c > 0, c * F.log2(c)).otherwise(F.lit(0.0))
-
-
-def _deviation(n: Column, s: Column, q: Column) -> Column:
-    mean = s / F.nullif(n, F.lit(0.0))
-    return F.sqrt(F.greatest(F.coalesce(q / F.nullif(n, F.lit(0.0)) - mean * mean, F.lit(0.0)), F.lit(0.0)))
+def _deviation(n: str, s: str, q: str) -> str:
+    return f"sqrt(greatest(coalesce(({q}) / nullif({n}, 0D) - (({s}) / nullif({n}, 0D)) * (({s}) / nullif({n}, 0D)), 0D), 0D))"
 
 
 def candidate_merits(stats: DataFrame) -> DataFrame:
     """Information gain (bits) and deviation reduction of every inner edge."""
-    at = prefix_sums(stats)
-    r = {c: F.col(c) - F.col(f"l{c}") for c in SUMS}
-    g = at.groupBy(*NODE, "pos", "bin").agg(
-        *[F.sum(f"l{c}").alias(f"l{c}") for c in SUMS], *[F.sum(c).alias(c) for c in SUMS],
-        F.sum(_plogp(F.col("ln"))).alias("pl"), F.sum(_plogp(r["n"])).alias("pr"), F.sum(_plogp(F.col("n"))).alias("pt"),
-    )
-    rn, rsy, rsyy = F.col("n") - F.col("ln"), F.col("sy") - F.col("lsy"), F.col("syy") - F.col("lsyy")
-    entropy = lambda n, p: F.when(n > 0, F.log2(n) - p / n).otherwise(F.lit(0.0))
-    gain = entropy(F.col("n"), F.col("pt")) - (
-        F.col("ln") * entropy(F.col("ln"), F.col("pl")) + rn * entropy(rn, F.col("pr"))
-    ) / F.col("n")
-    left_sd, right_sd = _deviation(F.col("ln"), F.col("lsy"), F.col("lsyy")), _deviation(rn, rsy, rsyy)
-    sdr = _deviation(F.col("n"), F.col("sy"), F.col("syy")) - (F.col("ln") * left_sd + rn * right_sd) / F.col("n")
-    return g.where((F.col("ln") > 0) & (rn > 0)).select(
-        *NODE, "pos", "bin", "n", "ln", gain.alias("gain"), sdr.alias("sdr"), left_sd.alias("left_sd"), right_sd.alias("right_sd")
-    )
-
-
-def best_features(merits: DataFrame, merit: Column) -> DataFrame:
+    plogp = lambda c: F.expr(f"sum(CASE WHEN {c} > 0 THEN ({c}) * log2({c}) ELSE 0D END)")
+    sides = (
+        prefix_sums(stats).groupBy(*NODE, "pos", "bin")
+        .agg(
+            *[F.sum(f"l{c}").alias(f"l{c}") for c in SUMS], *[F.sum(c).alias(c) for c in SUMS],
+            plogp("ln").alias("pl"), plogp("n - ln").alias("pr"), plogp("n").alias("pt"),
+        )
+        .where("ln > 0 AND n - ln > 0")
+        .selectExpr(
+            "*", "n - ln AS rn", f"{_deviation('ln', 'lsy', 'lsyy')} AS left_sd",
+            f"{_deviation('n - ln', 'sy - lsy', 'syy - lsyy')} AS right_sd", f"{_deviation('n', 'sy', 'syy')} AS all_sd",
+        )
+    )
+    return sides.selectExpr(
+        *NODE, "pos", "bin", "n", "ln",
+        "(log2(n) - pt / n) - (ln * (log2(ln) - pl / ln) + rn * (log2(rn) - pr / rn)) / n AS gain",
+        "all_sd - (ln * left_sd + rn * right_sd) / n AS sdr", "left_sd", "right_sd",
+    )
+
+
+def best_features(merits: DataFrame, merit: str) -> DataFrame:
     """Best edge per feature; ties go to the lower bin."""
-    best = F.struct(merit.alias("merit"), (-F.col("bin")).alias("_low"), "bin", "left_sd", "right_sd")
-    return merits.groupBy(*NODE, "pos").agg(F.max(best).alias("b"), F.first("n").alias("n")).select(
+    best = F.expr(f"max(struct({merit} AS merit, -bin AS low, bin, left_sd, right_sd))")
+    return merits.groupBy(*NODE, "pos").agg(best.alias("b"), F.first("n").alias("n")).selectExpr(
         *NODE, "pos", "n", "b.merit", "b.bin", "b.left_sd", "b.right_sd"
     )
 
 
 def subspace(features: DataFrame, seed_stride: int = 101) -> DataFrame:
     """Keep the node's random feature subset where the model has one (``m`` > 0)."""
-    draw = lcg(F.col("node_id") * F.lit(seed_stride) + F.col("pos"), F.col("tree_id") + 1)
-    order = W.partitionBy(*NODE).orderBy(draw, "pos")
+    order = W.partitionBy(*NODE).orderBy(F.expr(lcg_sql(f"node_id * {seed_stride} + pos", "tree_id + 1")), "pos")
     return features.withColumn("_r", F.row_number().over(order)).where("m <= 0 OR _r <= m").drop("_r")
 
 
@@ -187,40 +165,33 @@ def decide(stats: DataFrame, nodes: DataFrame, params: DataFrame) -> DataFrame:
     Hoeffding bound on the gain difference, or on the deviation-reduction ratio.
     ``params`` is one row per model, marked for broadcast by the caller if small.
     """
-    own = stats.where(F.col("pos") == OWN).groupBy(*NODE).agg(
-        F.sum("n").alias("seen"), F.count_distinct("label").alias("classes")
-    )
+    own = stats.where(f"pos = {OWN}").groupBy(*NODE).agg(F.sum("n").alias("seen"), F.count_distinct("label").alias("classes"))
     due = (
-        own.join(nodes.select(*NODE, "last_n"), NODE)
-        .join(params, "model_id")
-        .where(F.col("seen") - F.col("last_n") >= F.col("grace"))
-        .where("regression OR classes >= 2")
+        own.join(nodes.select(*NODE, "last_n"), NODE).join(params, "model_id")
+        .where("seen - last_n >= grace AND (regression OR classes >= 2)")
     )
-    merits = candidate_merits(stats.join(due.select(*NODE), NODE, "left_semi"))
-    merit = F.when(F.col("regression"), F.col("sdr")).otherwise(F.col("gain"))
-    ranked = best_features(merits.join(params.select("model_id", "regression"), "model_id"), merit)
-    limits = params.select("model_id", "m_features", "algorithm_id")
     width = stats.where("pos >= 0").groupBy("model_id").agg((F.max("pos") + 1).alias("width"))
-    m = F.when(F.col("algorithm_id").isin(4, 10), F.when(F.col("m_features") > 0, F.col("m_features")).otherwise(
-        F.floor(F.sqrt(F.col("width"))) + 1)).otherwise(F.lit(0))
-    ranked = subspace(ranked.join(limits.join(width, "model_id"), "model_id").withColumn("m", m))
-    top = ranked.groupBy(*NODE).agg(
-        F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("merit", (-F.col("pos")).alias("_low"), "pos", "bin", "left_sd", "right_sd")))), 1, 2).alias("t")
-    )
-    first, second = F.get("t", 0), F.get("t", 1)
-    judged = due.join(top, NODE, "left").select(
-        *due.columns,
-        first["pos"].alias("pos"), first["bin"].alias("bin"), first["left_sd"].alias("left_sd"), first["right_sd"].alias("right_sd"),
-        F.coalesce(first["merit"], F.lit(0.0)).alias("g1"),
-        F.greatest(F.coalesce(second["merit"], F.lit(0.0)), F.lit(0.0)).alias("g2"),
-    )
-    span = F.when(F.col("regression"), F.lit(1.0)).otherwise(F.log2(F.greatest(F.col("classes"), F.lit(2)).cast("double")))
-    eps = F.sqrt(span * span * F.log(F.lit(1.0) / F.col("delta")) / (F.lit(2.0) * F.col("seen")))
-    gap = F.when(F.col("regression"), F.col("g2") / F.nullif(F.col("g1"), F.lit(0.0)) + F.col("eps") < 1.0).otherwise(
-        F.col("g1") - F.col("g2") > F.col("eps")
-    )
-    return judged.withColumn("eps", eps).withColumn(
-        "split", (F.col("g1") > 1e-12) & F.coalesce(gap | (F.col("eps") < F.col("tau")), F.lit(False))
+    subset = params.join(width, "model_id").selectExpr(
+        "model_id", "regression",
+        "CASE WHEN algorithm_id NOT IN (4, 10) THEN 0 WHEN m_features > 0 THEN m_features ELSE int(floor(sqrt(width))) + 1 END AS m",
+    )
+    merits = candidate_merits(stats.join(due.select(*NODE), NODE, "left_semi"))
+    best = best_features(merits.join(params.select("model_id", "regression"), "model_id"), "CASE WHEN regression THEN sdr ELSE gain END")
+    top = subspace(best.join(subset, "model_id")).groupBy(*NODE).agg(
+        F.expr("slice(reverse(array_sort(collect_list(struct(merit, -pos AS low, pos, bin, left_sd, right_sd)))), 1, 2)").alias("t")
+    )
+    span = "CASE WHEN regression THEN 1D ELSE log2(double(greatest(classes, 2))) END"
+    return (
+        due.join(top, NODE, "left")
+        .selectExpr(
+            *due.columns, "get(t, 0).pos AS pos", "get(t, 0).bin AS bin", "get(t, 0).left_sd AS left_sd", "get(t, 0).right_sd AS right_sd",
+            "coalesce(get(t, 0).merit, 0D) AS g1", "greatest(coalesce(get(t, 1).merit, 0D), 0D) AS g2",
+            f"sqrt(({span}) * ({span}) * ln(1D / delta) / (2 * seen)) AS eps",
+        )
+        .selectExpr(
+            "*",
+            "g1 > 1e-12 AND coalesce(CASE WHEN regression THEN g2 / nullif(g1, 0D) + eps < 1 ELSE g1 - g2 > eps END OR eps < tau, false) AS split",
+        )
     )
 
 

@@ -306,7 +306,7 @@ def _root_stats(spark, folder, wanted):
     rows = instances.join(F.broadcast(edges), "model_id").select(
         "model_id", F.lit(0).alias("tree_id"), F.lit(0).alias("node_id"), "scope", "seq", "recordID", "x",
         F.when(F.lit(wanted[0][3] == C), F.col("label")).alias("label"), "y", "y0", F.lit(1).alias("w"), F.lit(0.0).alias("g"),
-        ss.bins(F.col("x"), F.col("lo"), F.col("hi")).alias("bins"), ss.centred(F.col("x"), F.col("lo"), F.col("hi")).alias("z"),
+        ss.bins().alias("bins"), ss.centred().alias("z"),
     )
     return active, edges, params, rows, cut(ss.add(None, ss.collect(rows)))
 
@@ -319,7 +319,7 @@ def _scoped(frame, active):
 def split_gain(spark, folder):
     """Best information gain per feature at the root, per scope."""
     active, _, _, _, stats = _root_stats(spark, folder, HOEFFDING)
-    best = ss.best_features(ss.candidate_merits(stats), F.col("gain"))
+    best = ss.best_features(ss.candidate_merits(stats), "gain")
     return _scoped(best, active).select("scope", F.col("pos").cast("long").alias("pos"), _r("merit", 9).alias("gain"))
 
 
@@ -327,7 +327,7 @@ def split_gain(spark, folder):
 def sdr_split(spark, folder):
     """Best deviation reduction per feature at the root, per scope."""
     active, _, _, _, stats = _root_stats(spark, folder, MODEL_TREE)
-    best = ss.best_features(ss.candidate_merits(stats), F.col("sdr"))
+    best = ss.best_features(ss.candidate_merits(stats), "sdr")
     return _scoped(best, active).select("scope", F.col("pos").cast("long").alias("pos"), _r("merit", 3).alias("sdr"))
 
 
@@ -385,7 +385,7 @@ def poisson_weights(spark, folder):
     """Row weights of three trees for every order."""
     o = tables.load(spark, folder, "orders")
     long = o.select("o_orderkey", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("tree"))
-    return long.select("o_orderkey", F.col("tree").cast("long").alias("tree"), hashing.poisson_weight(F.col("o_orderkey"), F.col("tree")).cast("long").alias("weight"))
+    return long.select("o_orderkey", F.col("tree").cast("long").alias("tree"), hashing.poisson_weight("o_orderkey", "tree").cast("long").alias("weight"))
 
 
 @query
