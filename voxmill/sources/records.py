@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,12 +95,10 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
     ``seq`` numbers requests by file name and position inside the array.
     """
     inner = T.ArrayType(schema.REQUEST)
-    texts = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
+    texts = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
     named = texts.select(F.col("_metadata.file_path").alias("file"), F.from_json("value", inner).alias("r"))
     listed = named.select("file", F.posexplode("r").alias("pos", "c"))
     files = named.select("file").distinct()
-    from pyspark.sql import Window as W
-
     numbered = files.withColumn("_f", F.row_number().over(W.orderBy("file")))
     return listed.join(F.broadcast(numbered), "file").select(
         "c.*", (F.col("_f").cast("long") * F.lit(1 << 32) + F.col("pos")).alias("seq")
