@@ -144,15 +144,20 @@ class NearestNeighbours:
             F.ceil(F.count(F.lit(1)) / F.lit(ROWS_PER_GROUP)).cast("int").alias("salts")
         )
         salted = wanted.join(sizes, "model_id").withColumn("salt", F.pmod(F.xxhash64("seq", "recordID"), F.col("salts")).cast("int"))
-        copies = held.join(sizes, "model_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+        # Renamed throughout: both sides come from the same model table.
+        copies = held.join(sizes, "model_id").select(
+            F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("b_salt"),
+            *[F.col(c).alias(f"b_{c}") for c in ("model_id", "seq", "x", "label", "y", "k", "regression")],
+        )
 
         def answer(rows: pd.DataFrame, memory: pd.DataFrame) -> pd.DataFrame:
             if not len(rows) or not len(memory):
                 return pd.DataFrame(columns=["model_id", "scope", "target", "seq", "recordID", "prediction"])
+            memory = memory.rename(columns=lambda c: c[2:])
             m = _Memory(memory, int(memory["k"].iloc[0]), bool(memory["regression"].iloc[0]))
             return _answer_frame(rows, m)
 
-        grouped = salted.drop("salts").groupBy("model_id", "salt").cogroup(copies.groupBy("model_id", "salt"))
+        grouped = salted.drop("salts").groupBy("model_id", "salt").cogroup(copies.groupBy("b_model_id", "b_salt"))
         return grouped.applyInPandas(answer, OUT).select(*PREDICTION)
 
     def trained(self, state: State) -> DataFrame:
