@@ -112,7 +112,7 @@ def test_neighbours_against_brute_force(spark, make_records, monkeypatch):
 def test_page_hinkley_and_adwin_fire_on_a_jump(spark):
     rnd = random.Random(1)
     rows = [("steady", i, rnd.gauss(0.3, 0.05)) for i in range(400)] + [("jump", i, rnd.gauss(0.1 if i < 200 else 0.9, 0.05)) for i in range(400)]
-    s = spark.createDataFrame(rows, "k string, seq long, x double")
+    s = cut(spark.createDataFrame(rows, "k string, seq long, x double"))
     alarms = {r["k"]: r["first_alarm"] for r in drift.page_hinkley_alarms(s, ["k"], threshold=5.0, width=64).collect()}
     assert alarms["steady"] is None and 200 < alarms["jump"] < 220
     b = s.groupBy("k", F.floor(F.col("seq") / 20).alias("b")).agg(F.count("*").cast("double").alias("n"), F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("sxx"))

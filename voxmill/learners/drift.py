@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scans import SLICE_WIDTH, running
+from ..session import cut
 
 ALPHA, LAMBDA, DELTA = 0.005, 50.0, 0.002
 
@@ -17,14 +18,18 @@ def page_hinkley(series: DataFrame, keys: Sequence[str], order: str = "seq", val
     """Rows with the statistic ``m`` and its rise ``drift`` above the minimum.
 
     m_t = sum of (x_i - mean_i - alpha) with mean_i the running mean; ``drift``
-    is m_t - min m. Three stacked running aggregates, each sliced.
+    is m_t - min m. Three stacked running aggregates, each sliced. A running
+    aggregate reads its input twice, so the narrow results in between are
+    materialised; otherwise the source would be read eight times.
     """
-    means = running(
-        series.select(*keys, order, value), keys, order,
-        {"_s": ("sum", F.col(value)), "_n": ("count", F.col(value))}, width=width,
+    means = cut(
+        running(
+            series.select(*keys, order, value), keys, order,
+            {"_s": ("sum", F.col(value)), "_n": ("count", F.col(value))}, width=width,
+        )
     )
     step = F.col(value) - F.col("_s") / F.col("_n") - F.lit(alpha)
-    sums = running(means.select(*keys, order, value, step.alias("_step")), keys, order, {"m": ("sum", F.col("_step"))}, width=width)
+    sums = cut(running(means.select(*keys, order, value, step.alias("_step")), keys, order, {"m": ("sum", F.col("_step"))}, width=width))
     low = running(sums.drop("_step"), keys, order, {"_low": ("min", F.col("m"))}, width=width)
     return low.withColumn("drift", F.col("m") - F.col("_low")).drop("_low")
 
