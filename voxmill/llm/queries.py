@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.llm import decontaminate, mixing, sharding, simhash
+from voxmill.llm import decontaminate, mixing, sharding, simhash, toxicity
 from voxmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,9 +34,16 @@ def op8_shard_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(docs, sharding.shard_names(SHARDS)).select("doc_id", "slot", "shard")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).alias("held_out"), "score", "predicted")
+
+
 CATALOG: dict[str, Query] = {
     "op3_mix_sources": op3_mix_sources,
     "op4_simhash_components": op4_simhash_components,
     "op7_contained_items": op7_contained_items,
     "op8_shard_lookup": op8_shard_lookup,
+    "op10_toxicity": op10_toxicity,
 }
