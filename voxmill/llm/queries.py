@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.llm import decontaminate, mixing, sharding, simhash, toxicity
+from voxmill.llm import decontaminate, mixing, order_minhash, sharding, simhash, toxicity
 from voxmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 SHARDS = 64
 
 
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.compare(table(spark, sf_dir, "documents"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CATALOG: dict[str, Query] = {
+    "op2_order_minhash": op2_order_minhash,
     "op3_mix_sources": op3_mix_sources,
     "op4_simhash_components": op4_simhash_components,
     "op7_contained_items": op7_contained_items,
