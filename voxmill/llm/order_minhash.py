@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from voxmill.llm.common import bind, stage, words
+from voxmill.llm.ranges import cuts_of, place_of
 
 BINS = 64
 #: Low bits of a packed element hold the position; longer texts share positions in steps.
@@ -108,29 +109,6 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(filled == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / filled).cast("double")
 
 
-def _blocks(ids: DataFrame, rows_in_block: int) -> list[int]:
-    """Boundaries of doc_id blocks of about the same number of rows."""
-    n = ids.count()
-    parts = min(16_383, max(1, n // rows_in_block))
-    if parts < 2:
-        return []
-    cuts = ids.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 10 * parts)).first()[0]
-    return sorted({c for c in cuts or [] if c is not None})
-
-
-def _place(cuts: list[int], value: Column) -> Column:
-    """Number of cuts below ``value``, by binary search."""
-    listed = F.expr(f"array({', '.join(f'{c}L' for c in cuts)})")
-
-    def halve(s: Column, _: Column) -> Column:
-        middle = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-        left, going = listed[middle] >= value, s["lo"] < s["hi"]
-        return F.struct(F.when(going & ~left, middle + 1).otherwise(s["lo"]).alias("lo"), F.when(going & left, middle).otherwise(s["hi"]).alias("hi"))
-
-    start = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(len(cuts).bit_length())), start, halve, lambda s: s["lo"])
-
-
 def with_next(docs: DataFrame, extra: Column, rows_in_block: int = 400) -> DataFrame:
     """Rows (doc_id, text, extra, next_text, next_extra): the next row by descending doc_id, after the last the first.
 
@@ -140,8 +118,8 @@ def with_next(docs: DataFrame, extra: Column, rows_in_block: int = 400) -> DataF
     the input. Rows of one doc_id follow each other by their text's hash; null ids come last.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    cuts = _blocks(rows.select("doc_id").where("doc_id is not null"), rows_in_block)
-    place = _place(cuts, F.col("doc_id")) if cuts else F.lit(0)
+    cuts = cuts_of(rows, "doc_id", rows.select("doc_id").count() // rows_in_block)
+    place = place_of(cuts, F.col("doc_id"))
     # Blocks count upward in the order of the walk: from the largest ids to the null ones.
     block = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.lit(len(cuts)) - place)
     first_ids = rows.select("doc_id", block.alias("block")).groupBy("block").agg(F.max("doc_id").alias("first_id"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.llm import decontaminate, mixing, order_minhash, sharding, simhash, toxicity
+from voxmill.llm import decontaminate, language_model, mixing, order_minhash, sharding, simhash, toxicity
 from voxmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,11 @@ def op8_shard_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(docs, sharding.shard_names(SHARDS)).select("doc_id", "slot", "shard")
 
 
+def op9_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return language_model.score(table(spark, sf_dir, "documents"), held_out)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -50,5 +55,6 @@ CATALOG: dict[str, Query] = {
     "op4_simhash_components": op4_simhash_components,
     "op7_contained_items": op7_contained_items,
     "op8_shard_lookup": op8_shard_lookup,
+    "op9_context_tree": op9_context_tree,
     "op10_toxicity": op10_toxicity,
 }
