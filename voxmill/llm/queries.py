@@ -7,12 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.llm import decontaminate, language_model, mixing, order_minhash, sharding, simhash, toxicity
+from voxmill.llm import decontaminate, language_model, mixing, order_minhash, sharding, simhash, token_store, toxicity, url_rules
 from voxmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 SHARDS = 64
+TOKENIZER = "word_bpe_49k.json"
+END_ID = 2
+
+
+def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's label is that of the document with its number: bad if toxic or of low quality."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    bad = F.max(((F.col("toxic") == 1) | (F.col("quality") == 0)).cast("int")) == 1
+    labels = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("page_id")).agg(bad.alias("bad"))
+    return url_rules.judge(pages, pages.join(labels, "page_id"))
 
 
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +38,15 @@ def op4_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = token_store.fresh_folder(spark)
+    with open(public_tokenizers.path(TOKENIZER), encoding="utf-8") as file:
+        token_store.write(table(spark, sf_dir, "documents"), folder, file.read(), END_ID)
+    return token_store.documents(token_store.read(spark, folder))
+
+
 def op7_contained_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "n_item", "n_shared", "containment")
@@ -50,9 +69,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CATALOG: dict[str, Query] = {
+    "op1_url_rules": op1_url_rules,
     "op2_order_minhash": op2_order_minhash,
     "op3_mix_sources": op3_mix_sources,
     "op4_simhash_components": op4_simhash_components,
+    "op5_token_store": op5_token_store,
     "op7_contained_items": op7_contained_items,
     "op8_shard_lookup": op8_shard_lookup,
     "op9_context_tree": op9_context_tree,
