@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.llm import decontaminate, language_model, mixing, order_minhash, sharding, simhash, token_store, toxicity, url_rules
+from voxmill.llm import decontaminate, html_text, language_model, mixing, order_minhash, sharding, simhash, token_store, toxicity, url_rules
 from voxmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,11 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.documents(token_store.read(spark, folder))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extract(pages, html_text.fit(pages))
+
+
 def op7_contained_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "n_item", "n_shared", "containment")
@@ -74,6 +79,7 @@ CATALOG: dict[str, Query] = {
     "op3_mix_sources": op3_mix_sources,
     "op4_simhash_components": op4_simhash_components,
     "op5_token_store": op5_token_store,
+    "op6_main_text": op6_main_text,
     "op7_contained_items": op7_contained_items,
     "op8_shard_lookup": op8_shard_lookup,
     "op9_context_tree": op9_context_tree,
