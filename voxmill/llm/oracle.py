@@ -30,14 +30,13 @@ WITH RECURSIVE prefs AS (
   SELECT k, ('0x' || md5('offset:shard-' || lpad(k::VARCHAR, 5, '0'))[1:15])::BIGINT % 6421 AS place,
    ('0x' || md5('skip:shard-' || lpad(k::VARCHAR, 5, '0'))[1:15])::BIGINT % 6420 + 1 AS skip
   FROM range(0, 64) r(k)),
- lists AS (SELECT k, list((place + j * skip) % 6421 ORDER BY j) AS slots FROM prefs, range(0, 6421) g(j) GROUP BY k),
  fill AS (
-  SELECT 0::BIGINT AS t, list_transform(range(0, 6421), lambda x: true) AS free, NULL::BIGINT AS slot, NULL::BIGINT AS k
+  SELECT 0::BIGINT AS t, list_transform(range(0, 6421), lambda x: true) AS free, NULL::BIGINT AS slot
   UNION ALL
-  SELECT t + 1, list_transform(free, lambda v, i: v AND i <> s + 1), s, owner FROM (
-   SELECT f.t, f.free, l.k AS owner, list_filter(l.slots, lambda x: f.free[x + 1])[1] AS s
-   FROM fill f JOIN lists l ON l.k = f.t % 64 WHERE f.t < 6421)),
- owners AS (SELECT slot, k FROM fill WHERE slot IS NOT NULL)
+  SELECT t + 1, list_transform(free, lambda v, i: v AND i <> s + 1), s FROM (
+   SELECT f.t, f.free, (place + skip * (list_position(list_transform(range(0, 6421), lambda j: f.free[(place + skip * j) % 6421 + 1]), true) - 1)) % 6421 AS s
+   FROM fill f JOIN prefs l ON l.k = f.t % 64 WHERE f.t < 6421)),
+ owners AS (SELECT slot, (t - 1) % 64 AS k FROM fill WHERE slot IS NOT NULL)
 SELECT doc_id, slot::INTEGER AS slot, owners.k::INTEGER AS shard FROM (
  SELECT doc_id, ('0x' || md5(coalesce(doc_id::VARCHAR, text, ''))[1:15])::BIGINT % 6421 AS s FROM documents) d JOIN owners ON owners.slot = d.s"""
 
