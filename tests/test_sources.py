@@ -1,4 +1,5 @@
 import json
+import os
 
 from voxmill.sources import delimited, records, sinks
 from voxmill.operators import control, routing
@@ -51,3 +52,30 @@ def test_sinks(spark, make_records, tmp_path):
         sinks.write_batch(rows, str(tmp_path), "t", 3)
     assert sinks.read_table(spark, str(tmp_path), "t").count() == 7
     assert sinks.read_table(spark, str(tmp_path), "missing") is None
+
+
+def test_arrival_order_follows_file_time(spark, tmp_path):
+    def put(name, n, when):
+        path = tmp_path / name
+        path.write_text("".join(json.dumps({"streamID": "s", "dataSetKey": "d", "recordID": f"{name}{i}", "fields": {"n": i}}) + "\n" for i in range(n)))
+        os.utime(path, (when, when))
+
+    put("b.json", 3, 1_000_000_000)  # oldest and smallest, last by name
+    put("a.json", 300, 1_700_000_000)
+    put("c.json", 2, 1_000_000_000)
+    good, _ = records.split_rejects(records.read_records(spark, str(tmp_path)))
+    got = [r["recordID"] for r in records.ordered(good).orderBy("seq").collect()]
+    assert got == [f"b.json{i}" for i in range(3)] + [f"c.json{i}" for i in range(2)] + [f"a.json{i}" for i in range(300)]
+    by_field = records.ordered(good, seq="n")
+    assert by_field.where("seq IS NULL").count() == 0
+    kept, lost = records.split_unordered(records.ordered(good, seq="missing"))
+    assert kept.count() == 0 and lost.count() == 305
+
+
+def test_broken_request_files_are_listed(spark, tmp_path):
+    one = {"commandType": "Create", "algorithmID": 3, "algorithmType": "kNN", "streamID": "s", "dataSetKey": "d", "hyperParams": {}, "target": "t", "taskType": "classification"}
+    (tmp_path / "a.json").write_text(json.dumps([one]))
+    (tmp_path / "b.json").write_text('[{"commandType": "Create", ')
+    (tmp_path / "c.json").write_text("no json")
+    assert records.read_requests(spark, str(tmp_path)).count() == 1
+    assert sorted(r["file"][-6:] for r in records.rejected_request_files(spark, str(tmp_path)).collect()) == ["b.json", "c.json"]

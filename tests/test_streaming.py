@@ -78,3 +78,32 @@ def test_hold_train_answer_load(spark, flow, make_records):
     rows = flow.engine.table("input").where(F.col("batch_id") == batch_id).drop("batch_id").collect()
     flow.engine.process(spark.createDataFrame(rows, flow.engine.table("input").drop("batch_id").schema), batch_id)
     assert flow.count("ensemble") == 45 and flow.engine.classification_metrics().first()["samples"] == 45
+
+
+def test_order_rejects_expiry_and_second_life(spark, flow, tmp_path):
+    flow.engine.horizon = 0
+    flow.engine.process(both_kinds(*[_plain(spark, []) for _ in range(2)]), 69_999)
+    held = _plain(spark, [("s", "d", "7", {"a": "1", "lab": "x"})]).withColumn("seq", F.lit(5).cast("long"))
+    lost = _plain(spark, [("s", "d", "8", {"a": "1", "lab": "x"})]).withColumn("seq", F.lit(None).cast("long"))
+    (tmp_path / "req" / "log.json").write_text(json.dumps(flow.log))
+    none = held.limit(0)
+    flow.engine.process(both_kinds(none, held.unionByName(lost)), 70_000)
+    assert [r["recordID"] for r in flow.engine.table("rejects").collect()] == ["8"]  # no order
+    flow.engine.process(both_kinds(none, none), 70_001)
+    gone = flow.engine.table("expired").collect()
+    assert {(r["recordID"], r["stage"]) for r in gone} == {("7", "prediction")} and len(gone) == 1
+    # a model deleted and created again starts empty
+    rows = _plain(spark, [("s", "d", "", {"a": str(i), "lab": "old"}) for i in range(10)])
+    flow.engine.process(both_kinds(rows, rows.limit(0)), 70_002)
+    flow.log = flow.log + [_request("Delete", 2, "Naive-Bayes"), _request("Create", 2, "Naive-Bayes")]
+    (tmp_path / "req" / "log.json").write_text(json.dumps(flow.log))
+    rows = _plain(spark, [("s", "d", "", {"a": str(i), "lab": "new"}) for i in range(10)])
+    flow.engine.process(both_kinds(rows, rows.limit(0)), 70_003)
+    state = flow.engine._latest("models", "bayes", 70_004)
+    assert {r["label"] for r in state["stats"].collect()} == {"new"}
+    seqs = [r["seq"] for r in flow.engine.table("input").where("batch_id >= 70002").orderBy("batch_id", "seq").collect()]
+    assert seqs == sorted(set(seqs)) and max(seqs) < 1000
+
+
+def _plain(spark, rows):
+    return spark.createDataFrame(rows, "streamID string, dataSetKey string, recordID string, fields map<string,string>")

@@ -38,9 +38,13 @@ def model_key(scope: Column, algorithm: Column, target: Column, signature: Colum
     return F.concat(scope, F.lit("___"), algorithm, F.lit("#"), target, F.lit("#"), signature)
 
 
-def model_id(key: Column) -> Column:
-    """Short identifier used in joins and shuffles in place of the long key."""
-    return F.substring(F.sha2(key, 256), 1, 16)
+def model_id(key: Column, created: Column) -> Column:
+    """Short identifier of one life of a model, used in joins in place of the long key.
+
+    A model that is deleted and created again is another one: the creating
+    request's number is part of the identifier, so no old state is found.
+    """
+    return F.substring(F.sha2(F.concat_ws("@", key, created.cast("string")), 256), 1, 16)
 
 
 def scope_of_key(key: Column) -> Column:

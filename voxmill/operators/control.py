@@ -83,7 +83,7 @@ def fold_requests(requests: DataFrame) -> DataFrame:
         .agg(F.min_by(descriptor, "seq").alias("d"))
     )
     return kept.select(
-        "model_key", keys.model_id(F.col("model_key")).alias("model_id"), "d.*"
+        "model_key", keys.model_id(F.col("model_key"), F.col("d.seq")).alias("model_id"), "d.*"
     ).withColumn("hp_text", keys.params_text(F.col("hyper_params"))).select(*MODEL_COLUMNS)
 
 

@@ -68,8 +68,8 @@ def answer(fitted: Fitted, prediction: DataFrame) -> DataFrame:
 
 
 def vote(partials: DataFrame, active: DataFrame, minimum: int = 2) -> DataFrame:
-    """Ensemble results; partials of one run are unique per record and model."""
-    return ensemble.combine(partials, active, minimum, deduplicated=True)
+    """Ensemble results; of a record asked several times each model's first answer counts."""
+    return ensemble.combine(partials, active, minimum)
 
 
 def judge(results: DataFrame, prediction: DataFrame) -> DataFrame:

@@ -56,6 +56,17 @@ def replace_models(state: State, saved: State, models: DataFrame) -> State:
     }
 
 
+def renamed(state: State, names: DataFrame) -> State:
+    """State of the models in ``names`` (old_id, model_id) under their new ids."""
+    return {t: df.withColumnRenamed("model_id", "old_id").join(names, "old_id").select(*df.columns) for t, df in state.items()}
+
+
+def only(state: State, models: DataFrame) -> State:
+    """State without the rows of models that are not in ``models``."""
+    ids = models.select("model_id").distinct()
+    return {t: df.join(ids, "model_id", "left_semi") for t, df in state.items()}
+
+
 def loadable(saved: State, models: DataFrame, family: str) -> tuple[DataFrame, DataFrame]:
     """Requested models that exist in the saved state, and those that do not."""
     have = FAMILIES[family].trained(saved)

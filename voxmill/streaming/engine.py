@@ -13,14 +13,15 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..learners import FAMILIES, State
 from ..operators import control, ensemble, evaluation, features, routing, throughput
 from ..plans.batch import families_of, of_family
-from ..session import cut
-from ..sources import registry, sinks
+from ..session import broadcast_within, cut
+from ..sources import arrival, registry, sinks
 from ..sources.records import CORRUPT
 
 TRAINING, PREDICTION = "training", "prediction"
@@ -37,8 +38,11 @@ def both_kinds(training: DataFrame, prediction: DataFrame) -> DataFrame:
 class Engine:
     """State folders and options of one running dataflow.
 
-    ``requests`` returns the request log as of now; it is re-read every batch.
-    ``horizon`` is how many batches a record may stay incomplete.
+    ``requests`` returns the request log as of now; each batch keeps a copy of
+    what it saw, so that a replay decides as the first run did.
+    ``horizon`` is how many batches a record may wait for its first model or
+    its last answer; None, the default, waits without limit. What runs out is
+    listed in ``expired`` with the stage it waited in.
     ``prequential`` predicts with the state before the batch's training.
     """
 
@@ -46,7 +50,7 @@ class Engine:
     root: str
     requests: Callable[[], DataFrame]
     chunks: int = 1
-    horizon: int = 1000
+    horizon: int | None = None
     prequential: bool = False
     save_every: int = registry.SAVE_EVERY
     seq_field: str | None = None
@@ -73,12 +77,12 @@ class Engine:
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         started = time.time()
-        ordered = self._ordered(batch, batch_id)
-        kept = sinks.write_batch(ordered, self.root, "input", batch_id)
-        good = kept.where("dataSetKey IS NOT NULL AND fields IS NOT NULL")
-        sinks.write_batch(kept.where("dataSetKey IS NULL OR fields IS NULL"), self.root, "rejects", batch_id)
+        now = self._clock(batch_id)
+        kept, rows = self._ordered(batch, batch_id, now)
+        good = kept.where("dataSetKey IS NOT NULL AND fields IS NOT NULL AND seq IS NOT NULL")
+        sinks.write_batch(kept.where("dataSetKey IS NULL OR fields IS NULL OR seq IS NULL"), self.root, "rejects", batch_id)
 
-        log = self.requests()
+        log = self._request_log(batch_id)
         active = sinks.write_batch(control.fold_requests(log), self.root, "active", batch_id)
         states = {f: self._latest("models", f, batch_id) for f in families_of(active)}
         states = self._apply_loads(log, active, states, batch_id)
@@ -86,21 +90,57 @@ class Engine:
         schemas = self._train(good.where(F.col("kind") == TRAINING), active, states, batch_id)
         answering = previous if self.prequential else states
         partials = self._predict(good.where(F.col("kind") == PREDICTION), active, answering, schemas, batch_id)
-        self._combine(partials, active, batch_id)
-        self._evaluate(batch_id)
-        rows = kept.count()
+        self._combine(partials, active, batch_id, now)
+        self._evaluate(batch_id, now)
         sinks.write_batch(
             throughput.progress_row(self.spark, batch_id, "batch", rows, (time.time() - started) * 1000), self.root, "progress", batch_id
         )
 
-    def _ordered(self, batch: DataFrame, batch_id: int) -> DataFrame:
-        """Add order and ingest time; a later batch always has larger ``seq``."""
-        seq = F.lit(batch_id * (1 << 47)) + F.monotonically_increasing_id()
-        if self.seq_field:
-            seq = F.try_element_at("fields", F.lit(self.seq_field)).try_cast("long")
+    def _clock(self, batch_id: int) -> Column:
+        """Time of the batch's first run, so that a replay stamps the same."""
+        seen = sinks.read_batch(self.spark, self.root, "clock", batch_id)
+        if seen is None:
+            seen = sinks.write_batch(self.spark.range(1).select(F.current_timestamp().alias("now")), self.root, "clock", batch_id)
+        return F.lit(seen.first()["now"])
+
+    def _request_log(self, batch_id: int) -> DataFrame:
+        """The request log this batch decides by, written at its first run."""
+        seen = sinks.read_batch(self.spark, self.root, "requests", batch_id)
+        return seen if seen is not None else sinks.write_batch(self.requests(), self.root, "requests", batch_id)
+
+    def _ordered(self, batch: DataFrame, batch_id: int, now: Column) -> tuple[DataFrame, int]:
+        """The batch written with order and ingest time, and its row count.
+
+        Rows are numbered densely in arrival order, after all rows of earlier
+        batches: parts (splits, or sorted partitions of a topic) are ranked,
+        their sizes summed, and the stored running total added.
+        """
         corrupt = F.col(CORRUPT) if CORRUPT in batch.columns else F.lit(None).cast("string")
-        ts = F.col("ts").cast("timestamp") if "ts" in batch.columns else F.current_timestamp()
-        return batch.select("kind", "streamID", "dataSetKey", "recordID", "fields", seq.alias("seq"), ts.alias("ts"), corrupt.alias(CORRUPT))
+        ts = F.col("ts").cast("timestamp") if "ts" in batch.columns else now
+        if set(arrival.SPLIT) <= set(batch.columns):
+            part = F.struct(*arrival.SPLIT)
+        else:
+            if {"_partition", "_offset", "ts"} <= set(batch.columns):
+                batch = arrival.sorted_by(batch, "ts", "_partition", "_offset")
+            part = F.struct(F.lit(None).cast("timestamp").alias("_file_time"), F.lit("").alias("_file"), F.spark_partition_id().cast("long").alias("_start"))
+        own = F.try_element_at("fields", F.lit(self.seq_field)).try_cast("long") if self.seq_field else F.lit(None).cast("long")
+        given = F.col("seq").cast("long") if "seq" in batch.columns and not self.seq_field else own
+        raw = batch.select("kind", "streamID", "dataSetKey", "recordID", "fields", given.alias("_given"), part.alias("_part"), arrival.row_in_partition().alias("_row"), ts.alias("ts"), corrupt.alias(CORRUPT))
+        raw = sinks.write_batch(raw, self.root, "arrived", batch_id)
+        parts = raw.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+        earlier = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row per split
+        parts = cut(parts.withColumn("_before", earlier))
+        rows = parts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+        before = self._before("totals", batch_id)
+        base = before.first()["total"] if before is not None else 0
+        sinks.write_batch(self.spark.createDataFrame([(base + rows,)], "total long"), self.root, "totals", batch_id)
+        inside = W.partitionBy("_part").orderBy("_row")
+        dense = F.lit(base) + F.col("_before") + F.row_number().over(inside) - 1
+        use_given = self.seq_field is not None or "seq" in batch.columns
+        numbered = raw if use_given else raw.join(broadcast_within(parts.select("_part", "_before")), "_part")
+        seq = F.col("_given") if use_given else dense
+        kept = numbered.select("kind", "streamID", "dataSetKey", "recordID", "fields", seq.alias("seq"), "ts", CORRUPT)
+        return sinks.write_batch(kept, self.root, "input", batch_id), rows
 
     def _train(self, training: DataFrame, active: DataFrame, states: dict, batch_id: int) -> DataFrame | None:
         known = self._before("schemas", batch_id)
@@ -118,11 +158,19 @@ class Engine:
             if instances.isEmpty():
                 continue
             state = FAMILIES[family].update(states.get(family), instances, models, self.chunks)
-            states[family] = registry.save(state, f"{self.root}/models", family, batch_id)
-            if not due.join(models.select("model_id"), "model_id", "left_semi").isEmpty():
-                registry.save(states[family], f"{self.root}/saved", family, batch_id)
+            states[family] = registry.save(registry.only(state, models), f"{self.root}/models", family, batch_id)
+            own = due.join(models.select("model_id"), "model_id", "left_semi")
+            if not own.isEmpty():  # each model is saved at its own multiple; the others keep their last save
+                before = self._latest("saved", family, batch_id)
+                fresh = registry.only(states[family], own)
+                registry.save(fresh if before is None else self._with_saved(before, fresh, own), f"{self.root}/saved", family, batch_id)
         return schemas
 
+    @staticmethod
+    def _with_saved(before: State, fresh: State, own: DataFrame) -> State:
+        ids = own.select("model_id").distinct()
+        return {t: before[t].select(*fresh[t].columns).join(ids, "model_id", "left_anti").unionByName(fresh[t]) for t in fresh}
+
     def _counts(self, routed: DataFrame, batch_id: int) -> DataFrame:
         """Training rows per model before and after the batch."""
         fresh = routed.groupBy("model_id").agg(F.count(F.lit(1)).alias("fresh"))
@@ -149,15 +197,22 @@ class Engine:
             loads = loads.join(last, "model_id", "left").where("_seen IS NULL OR load_seq > _seen").drop("_seen")
         loads = cut(loads)
         outcome = [loads.limit(0).withColumn("loaded", F.lit(True))]
+        lives = self.table("active").where(F.col("batch_id") <= batch_id).select("model_key", F.col("model_id").alias("old_id"), F.col("seq").alias("_life")).distinct()
         for family in families_of(loads):
             wanted = loads.where(F.col("family") == family)
             saved = self._latest("saved", family, batch_id)
-            if saved is None or states.get(family) is None:
+            if saved is None:
                 outcome.append(wanted.withColumn("loaded", F.lit(False)))
                 continue
-            found, missing = registry.loadable(saved, wanted, family)
-            states[family] = {t: cut(d) for t, d in registry.replace_models(states[family], saved, found).items()}
-            outcome += [found.withColumn("loaded", F.lit(True)), missing.withColumn("loaded", F.lit(False))]
+            # The save may stem from an earlier life of the model: the latest one with a save counts.
+            have = FAMILIES[family].trained(saved).select(F.col("model_id").alias("old_id"))
+            names = cut(wanted.join(lives, "model_key").join(have, "old_id", "left_semi").groupBy("model_id").agg(F.max_by("old_id", "_life").alias("old_id")))
+            restored = registry.renamed(saved, names)
+            if states.get(family) is None:
+                states[family] = {t: cut(d) for t, d in restored.items()}
+            else:
+                states[family] = {t: cut(d) for t, d in registry.replace_models(states[family], restored, names).items()}
+            outcome += [wanted.join(names.select("model_id"), "model_id", "left_semi").withColumn("loaded", F.lit(True)), wanted.join(names.select("model_id"), "model_id", "left_anti").withColumn("loaded", F.lit(False))]
         report = reduce(DataFrame.unionByName, outcome)
         sinks.write_batch(report.select("model_id", "model_key", "load_seq", "loaded"), self.root, "loads", batch_id)
         return states
@@ -172,40 +227,46 @@ class Engine:
             rows = rows.unionByName(waiting.join(active.select("model_id"), "model_id", "left_semi").select(*names))
         ready = [FAMILIES[f].trained(s) for f, s in states.items() if s is not None]
         trained = reduce(DataFrame.union, ready) if ready and schemas is not None else active.select("model_id").limit(0)
-        alive = rows.where(F.col("opened") >= batch_id - self.horizon)
-        held = alive.join(trained, "model_id", "left_anti")
-        sinks.write_batch(held, self.root, "waiting", batch_id)
+        held = rows.join(trained, "model_id", "left_anti")
+        old = self._expired(batch_id)
+        sinks.write_batch(held.where(~old), self.root, "waiting", batch_id)
+        sinks.write_batch(held.where(old).select(*ensemble.RECORD, "opened", F.lit("prediction").alias("stage")).distinct(), self.root, "expired_held", batch_id)
         parts = []
         for family, state in states.items():
             if state is None or schemas is None:
                 continue
             models = of_family(active, family)
-            own = rows.join(models.select("model_id"), "model_id", "left_semi")
+            own = rows.join(trained, "model_id", "left_semi").join(models.select("model_id"), "model_id", "left_semi")
             parts.append(FAMILIES[family].predict(state, features.encode(own, schemas), models))
         empty = self.spark.createDataFrame([], OPEN).drop("opened")
         partials = features.as_partials(reduce(DataFrame.unionByName, parts), active) if parts else empty
         return sinks.write_batch(partials, self.root, "partials", batch_id)
 
-    def _combine(self, partials: DataFrame, active: DataFrame, batch_id: int) -> None:
+    def _combine(self, partials: DataFrame, active: DataFrame, batch_id: int, now: Column) -> None:
         """Complete records with new and open partials; the rest stays open."""
         fresh = partials.withColumn("opened", F.lit(batch_id).cast("long"))
         before = self._before("open", batch_id)
         pool = fresh if before is None else fresh.unionByName(before.select(*fresh.columns))
         opened = pool.groupBy(*ensemble.RECORD).agg(F.min("opened").alias("opened"))
         done = sinks.write_batch(
-            ensemble.combine(pool, active).withColumn("pts", F.current_timestamp()), self.root, "ensemble", batch_id
+            ensemble.combine(pool, active).withColumn("pts", now), self.root, "ensemble", batch_id
         )
         finished = done.select("scope", "target", F.col("recordId").alias("recordID"))
         rest = ensemble.first_per_model(pool).join(finished, list(ensemble.RECORD), "left_anti").join(opened, list(ensemble.RECORD))
-        old = F.col("opened") < batch_id - self.horizon
+        old = self._expired(batch_id)
         sinks.write_batch(rest.where(~old), self.root, "open", batch_id)
-        sinks.write_batch(rest.where(old).select(*ensemble.RECORD, "opened").distinct(), self.root, "expired", batch_id)
+        held = sinks.read_batch(self.spark, self.root, "expired_held", batch_id)
+        gone = rest.where(old).select(*ensemble.RECORD, "opened", F.lit("ensemble").alias("stage")).distinct()
+        sinks.write_batch(gone.unionByName(held), self.root, "expired", batch_id)
+
+    def _expired(self, batch_id: int) -> Column:
+        return F.lit(False) if self.horizon is None else F.col("opened") < batch_id - self.horizon
 
-    def _evaluate(self, batch_id: int) -> None:
+    def _evaluate(self, batch_id: int, now: Column) -> None:
         """Counters of this batch's results joined with the truth of the last day."""
         done = sinks.read_batch(self.spark, self.root, "ensemble", batch_id)
         recent = self.table("input").where(
-            (F.col("kind") == PREDICTION) & (F.col("batch_id") <= batch_id) & (F.col("ts") >= F.current_timestamp() - F.expr("INTERVAL 25 HOURS"))
+            (F.col("kind") == PREDICTION) & (F.col("batch_id") <= batch_id) & (F.col("ts") >= now - F.expr("INTERVAL 25 HOURS"))
         )
         truth = evaluation.truth_of(recent, done)
         results = done.select("scope", "target", F.col("recordId").alias("recordID"), F.col("finalPrediction").alias("predicted"), "pts", "task_type")
