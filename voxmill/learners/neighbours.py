@@ -46,10 +46,17 @@ def buffer(instances: DataFrame, models: DataFrame, previous: DataFrame | None =
 
 def _matrix(rows: pd.Series) -> np.ndarray:
     """Stack vectors of possibly different lengths, NaN where missing."""
-    width = max((len(r) for r in rows), default=0)
+    if not len(rows):
+        return np.zeros((0, 0))
+    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+    flat = np.concatenate(rows.to_list())
+    if flat.dtype == object:
+        flat = pd.to_numeric(pd.Series(flat), errors="coerce").to_numpy(dtype=float)
+    width = int(sizes.max())
+    if (sizes == width).all():
+        return flat.astype(float).reshape(len(rows), width)
     out = np.full((len(rows), width), np.nan)
-    for i, r in enumerate(rows):
-        out[i, : len(r)] = [np.nan if v is None else v for v in r]
+    out[np.arange(width)[None, :] < sizes[:, None]] = flat
     return out
 
 
@@ -59,7 +66,8 @@ class _Memory:
     def __init__(self, rows: pd.DataFrame, k: int, regression: bool):
         rows = rows.sort_values("seq", kind="stable")
         self.x = _matrix(rows["x"])
-        self.labels = rows["label"].to_numpy()
+        self.names, code = np.unique(rows["label"].to_numpy().astype(str), return_inverse=True)
+        self.member = np.eye(len(self.names), dtype=np.float32)[code]
         self.y = rows["y"].to_numpy(dtype=float)
         self.k, self.regression = min(k, len(rows)), regression
         with np.errstate(all="ignore"):
@@ -80,16 +88,21 @@ class _Memory:
                 diff = q[:, j, None] - self.x[None, :, j]
                 term = np.zeros_like(diff) if self.span[j] == 0 else (diff / self.span[j]) ** 2
                 total += np.where(np.isnan(diff), 1.0, term)
-            distance = np.round(np.sqrt(total), 9)
-            order = np.argsort(distance, axis=1, kind="stable")[:, : self.k]
-            out.extend(self._vote(row) for row in order)
+            out.extend(self._vote(self._nearest(np.round(np.sqrt(total), 9))))
         return out
 
-    def _vote(self, nearest: np.ndarray):
+    def _nearest(self, distance: np.ndarray) -> np.ndarray:
+        """Mask of the k nearest; of equally far ones the earlier in the buffer."""
+        edge = np.partition(distance, self.k - 1, axis=1)[:, self.k - 1 : self.k]
+        closer, level = distance < edge, distance == edge
+        room = self.k - closer.sum(axis=1, keepdims=True)
+        return closer | (level & (level.cumsum(axis=1) <= room))
+
+    def _vote(self, nearest: np.ndarray) -> list:
         if self.regression:
-            return repr(float(np.mean(self.y[nearest])))
-        labels, counts = np.unique(self.labels[nearest].astype(str), return_counts=True)
-        return str(labels[np.argmax(counts)])
+            return [repr(v) for v in (nearest @ self.y / self.k).tolist()]
+        counts = nearest.astype(np.float32) @ self.member  # names are sorted, so the first best is the smallest
+        return self.names[counts.argmax(axis=1)].tolist()
 
 
 def _answer_frame(pdf: pd.DataFrame, memory: _Memory) -> pd.DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..learners import FAMILIES, State
 from ..operators import control, ensemble, evaluation, features, routing
-from ..session import cut
+from ..session import cut, stage
+from ..sources.records import split_unordered
 
 
 @dataclass
@@ -72,25 +73,35 @@ def vote(partials: DataFrame, active: DataFrame, minimum: int = 2) -> DataFrame:
     return ensemble.combine(partials, active, minimum)
 
 
-def judge(results: DataFrame, prediction: DataFrame) -> DataFrame:
-    """(scope, target, task_type, recordID, actual, predicted) of results with a truth."""
+def judge(results: DataFrame, prediction: DataFrame, active: DataFrame | None = None) -> DataFrame:
+    """(scope, target, task_type, recordID, actual, predicted) of results with a truth.
+
+    ``active`` names the targets without running ``results`` for them.
+    """
     wanted = results.select("scope", "target", "task_type", F.col("recordId").alias("recordID"), F.col("finalPrediction").alias("predicted"))
-    targets = results.select("scope", "target").distinct()
+    targets = (results if active is None else active).select("scope", "target").distinct()
     truth = evaluation.truth_of(prediction, targets)
     return wanted.join(truth.drop("ts"), ["scope", "target", "recordID"])
 
 
 def run(requests: DataFrame, training: DataFrame, prediction: DataFrame, chunks: int = 1) -> dict[str, DataFrame]:
-    """The whole batch flow with its intermediate tables."""
+    """The whole batch flow with its intermediate tables.
+
+    Rows without an order come back in ``rejects``; no learner takes them.
+    """
+    training, unordered = split_unordered(training)
+    prediction, unasked = split_unordered(prediction)
     active = cut(control.fold_requests(requests))
     fitted = fit(active, training, chunks)
-    partials = answer(fitted, prediction)
+    # Partials cost a pass of every learner, the counters a pass of the votes: each is made once.
+    partials = stage(answer(fitted, prediction))
     results = vote(partials, active)
-    pairs = judge(results, prediction)
-    matrix = evaluation.confusion(pairs.where("task_type = 'classification'"))
-    sums = evaluation.regression_sums(pairs.where("task_type = 'regression'"))
+    pairs = judge(results, prediction, active)
+    matrix = cut(evaluation.confusion(pairs.where("task_type = 'classification'")))
+    sums = cut(evaluation.regression_sums(pairs.where("task_type = 'regression'")))
     return {
         "active": active,
+        "rejects": unordered.unionByName(unasked),
         "partials": partials,
         "ensemble": results,
         "classification": evaluation.classification_report(matrix),

@@ -41,20 +41,8 @@ def order_records(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def event_records(spark: SparkSession, folder: str) -> DataFrame:
-    """Events; fields value, k (from the JSON text) and hour; class target ``kind``."""
-    e = load(spark, folder, "events")
-    return as_records(
-        e, stream=F.col("event_type"), dataset="events", record_id=F.col("event_id"), seq=F.col("event_id"), ts=F.col("ts"),
-        fields={
-            "value": F.col("value"), "k": F.get_json_object("props", "$.k"), "hour": F.hour("ts"), "user": F.col("user_id"),
-            "kind": F.col("event_type"),
-        },
-    )
-
-
-def vector_records(spark: SparkSession, folder: str, dims: int = 8) -> DataFrame:
-    """Embedding rows with the first ``dims`` components as fields e0, e1, ..."""
+def vector_records(spark: SparkSession, folder: str, dims: int = 64) -> DataFrame:
+    """Embedding rows with their ``dims`` components as fields e0, e1, ..."""
     v = load(spark, folder, "embeddings")
     fields = {f"e{i}": F.get("embedding", i).cast("double") for i in range(dims)}
     return as_records(
@@ -63,16 +51,6 @@ def vector_records(spark: SparkSession, folder: str, dims: int = 8) -> DataFrame
     )
 
 
-def item_records(spark: SparkSession, folder: str) -> DataFrame:
-    """Order lines for training only: no id, order by a hash of the whole line."""
-    l = load(spark, folder, "lineitem")
-    return as_records(
-        l, stream=F.col("l_returnflag"), dataset="items", record_id=F.lit(""),
-        seq=F.pmod(F.xxhash64(*l.columns), F.lit(1 << 52)), ts=F.col("l_shipdate"),
-        fields={"quantity": F.col("l_quantity"), "discount": F.col("l_discount"), "tax": F.col("l_tax"), "price": F.col("l_extendedprice"), "line": F.col("l_linestatus")},
-    )
-
-
 def create_requests(records: DataFrame, wanted: Sequence[tuple[int, str, str, str, Mapping[str, object]]], per_stream: bool = True) -> DataFrame:
     """CREATE requests for the scopes found in ``records``.
 
