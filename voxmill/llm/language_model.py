@@ -1,6 +1,7 @@
 """Language-model scores by context-tree weighting, with a smoothed word model as base.
 
-The model predicts a text byte by byte, each byte as eight binary decisions, after up to
+Base and model see the same text: its lower-cased (A-Z) words with single spaces and an
+end. The model predicts it byte by byte, each byte as eight binary decisions, after up to
 ``DEPTH`` preceding bytes. For each decision every depth has a Krichevsky-Trofimov estimate
 from the training texts; the context tree weights a node's own estimate against the product
 of its children by their evidence, so a prediction mixes all depths. The sum of the
@@ -47,6 +48,11 @@ def tokens(text: bytes) -> list[bytes]:
     return text.lower().split() + [END_TOKEN]
 
 
+def normal(listed: list[bytes]) -> bytes:
+    """The text that the model scores: a text's lower-cased words, one space between them."""
+    return b" ".join(listed[:-1])
+
+
 def word_keys(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
@@ -110,7 +116,7 @@ class _Gathered:
             self.held.update(listed)
         else:
             self.words.update(listed)
-        self.texts[held].append(text)
+        self.texts[held].append(normal(listed))
         self.waiting += len(text)
         self.size += len(text)
         if self.waiting >= BLOCK_BYTES:
@@ -326,9 +332,13 @@ def _score_chunk(total: int, distinct: int):
         _, word_key, word_n = _read(blobs.filter(pa.array(kinds == WORDS)), np.int64)
         _, run_key, run_value = _read(blobs.filter(pa.array(kinds == RUNS)), np.float32)
         runs = Lookup(run_key, run_value)
-        texts = [t.encode("utf-8", "surrogatepass") for t in docs.column("text").to_pylist()]
         place: defaultdict[bytes, int] = defaultdict(count().__next__)
-        listed = [np.fromiter((place[w] for w in tokens(t)), np.int64) for t in texts]
+        texts: list[bytes] = []
+        listed: list[np.ndarray] = []
+        for text in docs.column("text").to_pylist():
+            words = tokens(text.encode("utf-8", "surrogatepass"))
+            texts.append(normal(words))
+            listed.append(np.fromiter((place[w] for w in words), np.int64, len(words)))
         keys = word_keys(list(place))
         order = np.argsort(word_key)
         counted = word_n[order][np.searchsorted(word_key[order], keys)]
