@@ -72,6 +72,19 @@ def stage(df: DataFrame, *partition_by: str) -> DataFrame:
     return back.select(*df.columns)
 
 
+def cut_together(frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Materialise several tables by one write: their stages run side by side.
+
+    Columns of the same name must have the same type.
+    """
+    tagged = [df.withColumn("_table", F.lit(name)) for name, df in frames.items()]
+    union = tagged[0]
+    for df in tagged[1:]:
+        union = union.unionByName(df, allowMissingColumns=True)
+    back = stage(union, "_table")
+    return {name: back.where(F.col("_table") == name).select(*df.columns) for name, df in frames.items()}
+
+
 def broadcast_within(df: DataFrame, cells: Column | int | None = None, limit: int = BROADCAST_CELLS) -> DataFrame:
     """Mark ``df`` for broadcast when its measured size allows it.
 
