@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import broadcast_within
+
 SLICE_WIDTH = 1 << 20
 
 _FOLD = {"sum": F.sum, "min": F.min, "max": F.max, "count": F.count}
@@ -102,7 +104,8 @@ def newest(df: DataFrame, keys: Sequence[str], order: str, limit: Column, width:
         .where(F.col("_newer") < F.col("_lim"))
         .select(*keys, "_slice", "_newer")
     )
-    ranked = base.join(wanted, [*keys, "_slice"]).withColumn(
+    # Few slices are wanted, so the rows are filtered where they are read.
+    ranked = base.join(broadcast_within(wanted), [*keys, "_slice"]).withColumn(
         "_back",
         F.col("_newer") + F.row_number().over(W.partitionBy(*keys, "_slice").orderBy(F.desc(order))),
     )

@@ -48,9 +48,9 @@ def with_chunks(instances: DataFrame, chunks: int) -> DataFrame:
     """
     if chunks <= 1:
         return instances.withColumn("chunk", F.lit(0))
-    bounds = instances.groupBy("model_id").agg(F.min("seq").alias("_lo"), F.max("seq").alias("_hi"))
+    from ..session import broadcast_within, cut
+
+    bounds = cut(instances.groupBy("model_id").agg(F.min("seq").alias("_lo"), F.max("seq").alias("_hi")))
     width = F.col("_hi") - F.col("_lo") + 1
     chunk = F.floor((F.col("seq") - F.col("_lo")) * F.lit(chunks) / width).cast("int")
-    from ..session import broadcast_within
-
     return instances.join(broadcast_within(bounds), "model_id").withColumn("chunk", chunk).drop("_lo", "_hi")

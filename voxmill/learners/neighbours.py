@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import coercion
 from ..functions.scans import newest
 from ..schema import BY_NAME
+from ..session import broadcast_within
 from .base import PREDICTION, State
 
 # The task-side helpers travel with the job, so executors need no installed copy.
@@ -40,7 +41,7 @@ def buffer(instances: DataFrame, models: DataFrame, previous: DataFrame | None =
     rows = instances.select("model_id", *ROWS)
     if previous is not None:
         rows = rows.unionByName(previous)
-    limited = rows.join(F.broadcast(buffer_limits(models)), "model_id")
+    limited = rows.join(broadcast_within(buffer_limits(models)), "model_id")
     return newest(limited, ["model_id"], "seq", F.col("limit")).select("model_id", *ROWS)
 
 
@@ -124,7 +125,7 @@ class NearestNeighbours:
             coercion.param_int(F.col("hyper_params"), "k", DEFAULTS["k"]).alias("k"),
             (F.col("task_type") == "regression").alias("regression"),
         )
-        held = state["buffer"].join(F.broadcast(settings), "model_id")
+        held = state["buffer"].join(broadcast_within(settings), "model_id")
         cells = held.agg(F.coalesce(F.sum(F.size("x") + 4), F.lit(0)).alias("c")).first()["c"]
         wanted = instances.select("model_id", "scope", "target", "seq", "recordID", "x")
         if cells <= BROADCAST_CELLS:

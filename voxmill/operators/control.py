@@ -135,6 +135,11 @@ def latest_by_key(changes: DataFrame, key: str, order: str, tombstone: Column) -
     return newest.where("NOT r._gone").select(key, *[f"r.{c}" for c in rest])
 
 
+def trained_enough(counts: DataFrame, least: int) -> DataFrame:
+    """Models (model_id) that have seen ``least`` training rows; ``counts`` has model_id, after."""
+    return counts.where(F.col("after") >= least).select("model_id")
+
+
 def small_models(active: DataFrame) -> DataFrame:
     """Active models marked for broadcast while they fit."""
     return broadcast_within(active)

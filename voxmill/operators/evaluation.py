@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.coercion import ratio, to_number
+from ..session import broadcast_within
 from .routing import with_scopes
 
 GROUP = ("scope", "target")
@@ -13,7 +14,7 @@ GROUP = ("scope", "target")
 
 def truth_of(records: DataFrame, targets: DataFrame) -> DataFrame:
     """(scope, target, recordID, actual, ts) of records that carry the target."""
-    routed = with_scopes(records).join(F.broadcast(targets.select("scope", "target").distinct()), "scope")
+    routed = with_scopes(records).join(broadcast_within(targets.select("scope", "target").distinct()), "scope")
     actual = F.trim(F.try_element_at("fields", F.col("target")))
     return routed.select("scope", "target", "recordID", actual.alias("actual"), "ts").where("actual IS NOT NULL AND actual <> ''")
 

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.coercion import ratio
-from ..functions.scans import rank_in_order
+from ..functions.scans import rank_in_order, running
+from ..session import cut
 
 BUCKET = 10_000
 
@@ -21,13 +21,14 @@ def throughput_buckets(stream: DataFrame, keys: list[str], order: str = "seq", t
     per = ranked.withColumn("bucket", F.floor((F.col("_rank") - 1) / F.lit(bucket)).cast("long")).groupBy(*keys, "bucket").agg(
         F.count(F.lit(1)).alias("records"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts")
     )
-    in_order = W.partitionBy(*keys).orderBy("bucket")
-    start = F.coalesce(F.lag("last_ts").over(in_order), F.col("first_ts"))
-    origin = F.min("first_ts").over(W.partitionBy(*keys))
-    total = F.sum("records").over(in_order.rowsBetween(W.unboundedPreceding, 0))
+    per = cut(per)
+    # Sliced running aggregates: a stage has one row per bucket, which may be many.
+    until = running(per, keys, "bucket", {"total_records": ("sum", F.col("records")), "_origin": ("min", F.struct("bucket", "first_ts"))})
+    before = running(until, keys, "bucket", {"_previous": ("max", F.struct("bucket", "last_ts"))}, inclusive=False)
+    start, origin, total = F.coalesce("_previous.last_ts", "first_ts"), F.col("_origin.first_ts"), F.col("total_records")
     micros = lambda a, b: (F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp"))) / F.lit(1e6)
-    return per.select(
-        *keys, "bucket", "records", total.alias("total_records"),
+    return before.select(
+        *keys, "bucket", "records", "total_records",
         ratio(F.col("records"), micros(F.col("last_ts"), start)).alias("rate"),
         ratio(total, micros(F.col("last_ts"), origin)).alias("total_rate"),
     )

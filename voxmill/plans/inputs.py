@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..operators import control, features, routing
-from ..session import cut
+from ..session import broadcast_within, cut
 from ..sources import tables
 
 C, R = schema.CLASSIFICATION, schema.REGRESSION
@@ -116,7 +116,7 @@ def stump_partials(spark: SparkSession, folder: str, target: str = "status") ->
     for p in parts[1:]:
         out = out.unionByName(p)
     names = stump_models(spark, folder, target).select("scope", "target", F.col("algorithm_type").alias("algorithmType"), "model_id")
-    return out.join(F.broadcast(names), ["scope", "target", "algorithmType"])
+    return out.join(broadcast_within(names), ["scope", "target", "algorithmType"])
 
 
 def series(spark: SparkSession, folder: str) -> DataFrame:

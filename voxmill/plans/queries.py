@@ -13,7 +13,7 @@ from ..learners import bayes, drift, linear, neighbours, rules, trees
 from ..learners import split_stats as ss
 from ..learners.base import with_chunks
 from ..operators import control, ensemble, evaluation, features, routing, throughput, versions
-from ..session import cut
+from ..session import broadcast_within, cut
 from ..sources import tables
 from . import batch, inputs
 from .inputs import C, R
@@ -59,9 +59,9 @@ def typed_encoder(spark, folder):
         o, stream=F.lit("all"), dataset="orders", record_id=F.col("o_orderkey"), seq=F.col("o_orderkey"),
         fields={"day": F.date_format("o_orderdate", "dd/MM/yyyy"), "clock": clock, "prio": F.col("o_orderpriority"), "price": F.col("o_totalprice")},
     )
-    words = features.category_dictionary(records, ["dataSetKey"]).select("dataSetKey", "feature", F.col("value").alias("text"), "idx")
+    words = cut(features.category_dictionary(records, ["dataSetKey"])).select("dataSetKey", "feature", F.col("value").alias("text"), "idx")
     long = records.select("recordID", "dataSetKey", F.explode("fields").alias("feature", "text"))
-    coded = long.join(F.broadcast(words), ["dataSetKey", "feature", "text"], "left")
+    coded = long.join(broadcast_within(words), ["dataSetKey", "feature", "text"], "left")
     return coded.select(
         "recordID", "feature", coercion.typed_kind(F.col("text")).alias("kind"), _r(features.typed_number(F.col("text"), F.col("idx"))).alias("number")
     )
@@ -89,7 +89,7 @@ def route_fanout(spark, folder):
     active = inputs.active_for(records, WANTED)
     routed = routing.route_to_models(records, active)
     names = active.select("model_id", "algorithm_type")
-    return routed.join(F.broadcast(names), "model_id").select("recordID", "scope", "target", "algorithm_type")
+    return routed.join(broadcast_within(names), "model_id").select("recordID", "scope", "target", "algorithm_type")
 
 
 @query
@@ -176,7 +176,7 @@ def label_domain(spark, folder):
     records = tables.order_records(spark, folder)
     active = inputs.active_for(records, STATUS)
     domain = features.label_domain(inputs.instances_for(records, active))
-    return domain.join(F.broadcast(active.select("model_id", "scope")), "model_id").select("scope", "label", F.col("idx").cast("long").alias("idx"), "first_seq")
+    return domain.join(broadcast_within(active.select("model_id", "scope")), "model_id").select("scope", "label", F.col("idx").cast("long").alias("idx"), "first_seq")
 
 
 # ---- naive Bayes -----------------------------------------------------------
@@ -188,7 +188,7 @@ def nb_stats(spark, folder):
     records = tables.order_records(spark, folder)
     active = inputs.active_for(records, STATUS)
     stats = bayes.batch_stats(inputs.instances_for(records, active))
-    return stats.join(F.broadcast(active.select("model_id", "scope")), "model_id").select(
+    return stats.join(broadcast_within(active.select("model_id", "scope")), "model_id").select(
         "scope", "label", F.col("pos").cast("long").alias("pos"), "n", _r("mean", 4).alias("mean"), _r(F.log1p("m2"), 6).alias("log_m2")
     )
 
@@ -200,7 +200,7 @@ def nb_merge(spark, folder):
     active = inputs.active_for(records, STATUS)
     halves = with_chunks(inputs.instances_for(records, active), 2)
     stats = bayes.merge_stats(bayes.batch_stats(halves.where("chunk = 0")), bayes.batch_stats(halves.where("chunk = 1")))
-    return stats.join(F.broadcast(active.select("model_id", "scope")), "model_id").select(
+    return stats.join(broadcast_within(active.select("model_id", "scope")), "model_id").select(
         "scope", "label", F.col("pos").cast("long").alias("pos"), "n", _r("mean", 4).alias("mean"), _r(F.log1p("m2"), 6).alias("log_m2")
     )
 
@@ -238,7 +238,7 @@ def knn_buffer(spark, folder):
     records = tables.order_records(spark, folder)
     active = inputs.active_for(records, [(3, "kNN", "status", C, {"limitOption": 250})])
     held = neighbours.buffer(inputs.instances_for(records, active), active)
-    return held.join(F.broadcast(active.select("model_id", "scope")), "model_id").select("scope", "seq", "label")
+    return held.join(broadcast_within(active.select("model_id", "scope")), "model_id").select("scope", "seq", "label")
 
 
 @query
@@ -303,7 +303,7 @@ def _root_stats(spark, folder, wanted):
     instances = inputs.instances_for(records, active)
     edges = cut(ss.bin_edges(instances))
     params = cut(ss.settings(active))
-    rows = instances.join(F.broadcast(edges), "model_id").select(
+    rows = instances.join(broadcast_within(edges), "model_id").select(
         "model_id", F.lit(0).alias("tree_id"), F.lit(0).alias("node_id"), "scope", "seq", "recordID", "x",
         F.when(F.lit(wanted[0][3] == C), F.col("label")).alias("label"), "y", "y0", F.lit(1).alias("w"), F.lit(0.0).alias("g"),
         ss.bins().alias("bins"), ss.centred().alias("z"),
@@ -312,7 +312,7 @@ def _root_stats(spark, folder, wanted):
 
 
 def _scoped(frame, active):
-    return frame.join(F.broadcast(active.select("model_id", "scope")), "model_id")
+    return frame.join(broadcast_within(active.select("model_id", "scope")), "model_id")
 
 
 @query
@@ -363,7 +363,7 @@ def rule_expand(spark, folder):
     """First literal learned per scope by the default rule."""
     active, edges, params, _, stats = _root_stats(spark, folder, RULES)
     d = ss.decide(stats, _roots(params), params).where("split")
-    lit = _scoped(d.join(F.broadcast(edges), "model_id"), active)
+    lit = _scoped(d.join(broadcast_within(edges), "model_id"), active)
     return lit.select(
         "scope", F.col("pos").cast("long").alias("pos"), (F.col("left_sd") <= F.col("right_sd")).alias("le"),
         _r(ss.edge(F.get("lo", F.col("pos")), F.get("hi", F.col("pos")), F.col("bin")), 6).alias("threshold"),
@@ -520,6 +520,35 @@ def learner_metrics(spark, folder):
     return a.select("scope", "algorithmType", "samples", "correct", _r("accuracy").alias("accuracy"))
 
 
+@query
+def learner_errors(spark, folder):
+    """MAE, MSE and RMSE of each numeric learner by itself."""
+    partials = ensemble.first_per_model(inputs.stump_partials(spark, folder, "price"))
+    truth = evaluation.truth_of(tables.order_records(spark, folder), inputs.stump_models(spark, folder, "price"))
+    pairs = partials.join(truth, ["scope", "target", "recordID"]).withColumnRenamed("prediction", "predicted")
+    group = ("scope", "algorithmType")
+    report = evaluation.regression_report(evaluation.regression_sums(pairs, group), group)
+    return report.select("scope", "algorithmType", "n", _r("mae", 2).alias("mae"), _r(F.log("mse"), 6).alias("log_mse"), _r("rmse", 2).alias("rmse"))
+
+
+@query
+def trained_enough(spark, folder):
+    """Models with at least 3,100 training rows."""
+    records = tables.order_records(spark, folder)
+    active = inputs.active_for(records, WANTED)
+    counts = routing.route_to_models(records, active).groupBy("model_id").agg(F.count(F.lit(1)).alias("after"))
+    return control.trained_enough(counts, 3100).join(active, "model_id").select("scope", "algorithm_type")
+
+
+@query
+def vote_resent(spark, folder):
+    """Votes when every fourth order is asked again and answered otherwise: the first answers count."""
+    partials = inputs.stump_partials(spark, folder)
+    again = partials.where(F.col("recordID").cast("long") % 4 == 0).withColumn("seq", F.col("seq") + 1_000_000_000).withColumn("prediction", F.lit("Z"))
+    results = batch.vote(partials.unionByName(again), inputs.stump_models(spark, folder, "status"))
+    return results.select("scope", "recordId", "finalPrediction")
+
+
 @query
 def eval_interval_join(spark, folder):
     """Events paired with results at most 24 hours apart."""

@@ -271,7 +271,7 @@ class Engine:
         truth = evaluation.truth_of(recent, done)
         results = done.select("scope", "target", F.col("recordId").alias("recordID"), F.col("finalPrediction").alias("predicted"), "pts", "task_type")
         kinds = results.select("scope", "target", "task_type").distinct()
-        pairs = evaluation.interval_pairs(truth, results).join(F.broadcast(kinds), ["scope", "target"])
+        pairs = evaluation.interval_pairs(truth, results).join(broadcast_within(kinds), ["scope", "target"])
         sinks.write_batch(evaluation.confusion(pairs.where("task_type = 'classification'")), self.root, "confusion", batch_id)
         sinks.write_batch(evaluation.regression_sums(pairs.where("task_type = 'regression'")), self.root, "regression", batch_id)
 
