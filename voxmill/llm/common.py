@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +67,27 @@ def discard(*frames: DataFrame) -> None:
             place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def sampled(rows: DataFrame, key: Column, most: int) -> DataFrame:
+    """At most ``most`` rows, those of the smallest hash ``key``; all rows if there are no more.
+
+    A uniform hash tells beforehand where the limit will lie, so tasks pass on about as many
+    rows as are kept, however many tasks there are.
+    """
+    total = rows.count()
+    if total <= most:
+        return rows
+    bound = int((1 << 64) * most / total) - (1 << 63)
+    name = fresh(rows, "_key")
+    return rows.withColumn(name, key).where(F.col(name) <= bound).orderBy(name).limit(most).drop(name)
+
+
+def small(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def components(links: DataFrame, left: str = "a", right: str = "b", most_rounds: int = 60) -> DataFrame:
     """Connected components of undirected links as rows (node, label), label the smallest node.
 

@@ -14,8 +14,10 @@ from __future__ import annotations
 
 import itertools
 import re
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
-from voxmill.llm.common import shared_folder
+from voxmill.llm.common import shared_folder, small
 
 RANK_BITS = 512
 SEGMENT_IDS = 1 << 20
@@ -105,33 +107,40 @@ class Encoder:
             self.byte_text[code] = "".join(x for x, _ in level.pre_tokenize_str(chr(code)))
         for code in (0xD7, 0xF7):
             self.byte_text[code] = "".join(x for x, _ in level.pre_tokenize_str(chr(code)))
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.words: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
-    def _ids(self, word: str) -> list[int]:
+    def _ids(self, word: str) -> bytes:
         if "<|" in word or not self.PLAIN.fullmatch(word):
-            return self.whole.encode(word, add_special_tokens=False).ids
-        out: list[int] = []
+            return _little(self.whole.encode(word, add_special_tokens=False).ids)
+        pieces, out = self.pieces, []
         for piece in self.PIECE.findall(word.lower()):
-            found = self.pieces.get(piece)
+            found = pieces.get(piece)
             if found is None:
-                found = self.pieces[piece] = [t.id for t in self.model.tokenize(piece.translate(self.byte_text))]
-            out += found
-        return out
+                found = pieces[piece] = _little([t.id for t in self.model.tokenize(piece.translate(self.byte_text))])
+            out.append(found)
+        return b"".join(out)
 
     def __call__(self, text: str, end: int) -> bytes:
         """Little-endian 32-bit ids of a text and the end id."""
-        words = re.split(r"[ \t-\r]+", text) if not text.isascii() else text.split()
+        words = text.encode("utf-8", "surrogatepass").split()  # splits at plain white space only
         known = self.words
-        for word in set(words) - known.keys():
-            known[word] = np.array(self._ids(word), "<u4").tobytes() if word else b""
-        made = b"".join([known[w] for w in words] + [end.to_bytes(4, "little")])
+        for word in {w for w in words if w not in known}:
+            known[word] = self._ids(word.decode("utf-8", "surrogatepass"))
+        made = b"".join([known[w] for w in words]) + end.to_bytes(4, "little")
         if len(known) > MOST_WORDS:
             known.clear()
             self.pieces.clear()
         return made
 
 
+def _little(ids: list[int]) -> bytes:
+    made = array("I", ids)
+    if sys.byteorder == "big":
+        made.byteswap()
+    return made.tobytes()
+
+
 def write(docs: DataFrame, path: str, spec: str, end_id: int = 2) -> None:
     """Write the ids of whole texts, each document closed by ``end_id``, as segments in ``path``.
 
@@ -157,7 +166,7 @@ def write(docs: DataFrame, path: str, spec: str, end_id: int = 2) -> None:
             kinds = pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.list_(pa.binary())] * 3
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds)], ["part", "seq", "n_ids", "doc_ids", "doc_ends", "levels", "marks", "ranks"])
 
-        for batch in batches:
+        for batch in small(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 made = encode(text, end_id)
                 total += len(made) // 4
