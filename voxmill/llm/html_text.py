@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxmill.llm import boosting
+from voxmill.llm.common import sampled
 
 # Fixed values of HTML: elements without content, of raw text, inline ones, and what an opening tag closes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -418,8 +419,10 @@ def fit(pages: DataFrame, most_pages: int = 400, per_page: int = 3, most_chars:
     If no page has a main element of plain meaning, blocks of the smallest kind serve: a fixed
     pair of short texts, so that a model always exists.
     """
-    usable = pages.where(F.length("html").between(1, most_chars)).select("html", F.xxhash64("html").alias("h"))
-    sample = [r[0] for r in usable.orderBy("h").limit(most_pages).select("html").collect()]
+    usable = pages.where(F.length("html").between(1, most_chars)).select(F.xxhash64("html").alias("h"))
+    chosen = sampled(usable.distinct(), F.col("h"), most_pages)  # at most most_pages hashes; copies count once
+    held = pages.select("html", F.xxhash64("html").alias("h")).join(F.broadcast(chosen), "h", "left_semi")
+    sample = [r["html"] for r in held.groupBy("h").agg(F.min("html").alias("html")).orderBy("h").collect()]
     x, y = training_rows(sample, per_page, seed)
     if not len(y):
         stand_in = "<article><p>" + "A longer text, of two lines. " * 8 + "</p><p>It ends here, at last.</p></article><footer>one two</footer>"
