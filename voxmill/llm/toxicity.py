@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxmill.llm.common import sampled, small
+
 LETTERS = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
 #: Groups of interchangeable identity terms.
@@ -56,7 +58,7 @@ class Model:
     bias: float
     weights: dict[str, float]
 
-    def scorer(self, most_words: int = 1 << 18):
+    def scorer(self, most_words: int = 1 << 17):
         """Function of a text; words without an active column are remembered as such, up to a bounded number."""
         known: dict[str, tuple[str, ...]] = {}
         weights = self.weights
@@ -84,13 +86,15 @@ def training_ids(labels: DataFrame, most_rows: int = 30_000) -> DataFrame:
     """
     usable = labels.where("doc_id is not null and toxic is not null").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     rows = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("y"))
-    total = rows.count()
-    kept = rows if total <= most_rows else rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    return kept
+    return sampled(rows, F.xxhash64("doc_id"), most_rows)
+
 
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 30_000, columns: int = 4096, least_docs: int = 3, least_z: float = 2.0, ridge: float = 5e-5, swap: float = 1.0, steps: int = 400) -> Model:
+    """Fit on at most ``most_rows`` labelled documents.
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 30_000, columns: int = 4096, least_docs: int = 3, ridge: float = 2e-4, swap: float = 1.0, steps: int = 400) -> Model:
-    """Fit on at most ``most_rows`` labelled documents. Without any toxic or any clean one the score is constant."""
+    Columns are the features whose log odds stand ``least_z`` standard errors from zero, so that
+    a small sample brings few of them. Without any toxic or any clean document the score is constant.
+    """
     chosen = training_ids(labels, most_rows).collect()
     if not chosen:
         return Model(0.0, {})
@@ -102,7 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 30_000, columns: in
         for batch in batches:
             seen: dict[int, Counter[str]] = {0: Counter(), 1: Counter()}
             rows = Counter()
-            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for y, text in (pair for part in small([batch]) for pair in zip(part.column(0).to_pylist(), part.column(1).to_pylist())):
                 seen[y].update({f for w in word_set(text) for f in features_of(w)})
                 rows[y] += 1
             names = list(seen[0].keys() | seen[1].keys()) + [""]
@@ -117,12 +121,13 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 30_000, columns: in
     n0, n1 = float(totals["clean"]), float(totals["toxic"])
     odds = F.log((F.col("toxic") + 0.5) * (n0 + 1) / ((F.col("clean") + 0.5) * (n1 + 1)))
     spread = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    best = counted.where((F.col("feature") != "") & (F.col("clean") + F.col("toxic") >= least_docs)).orderBy(F.desc(F.abs(odds / spread)), "feature").limit(columns)
+    told = (F.col("feature") != "") & (F.col("clean") + F.col("toxic") >= least_docs) & (F.abs(odds / spread) >= least_z)
+    best = counted.where(told).orderBy(F.desc(F.abs(odds / spread)), "feature").limit(columns)
     names = sorted({r["feature"] for r in best.select("feature").collect()} | set(GROUP_OF))
     index = {name: k for k, name in enumerate(names)}
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             on, swaps = [], []
             for text in batch.column(1).to_pylist():
                 found = word_set(text)
@@ -166,7 +171,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rate = model.scorer()
-        for batch in batches:
+        for batch in small(batches):
             made = [rate(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.float64())], ["doc_id", "score"])
 
@@ -180,7 +185,7 @@ def clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rate = model.scorer()
-        for batch in batches:
+        for batch in small(batches):
             yield batch.filter(pa.array([rate(t) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, schema)
