@@ -8,7 +8,7 @@ of its children by their evidence, so a prediction mixes all depths. The sum of
 decisions' logarithms is the text's code length.
 
 Work is dealt in two ways. Texts are cut into chunks by doc_id; a chunk's distinct words and
-byte runs leave it as sorted binary columns, one per hash bucket, so what is shuffled is each
+byte runs leave it as sorted, packed binary columns, one per hash bucket, so what is shuffled is each
 chunk's vocabulary, not each occurrence. Buckets sum the training counts over chunks, trees
 are weighted in groups of their two latest bytes, and values return to the chunks that asked,
 which score their whole texts by lookup. Nothing of the model is broadcast but the two
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxmill.llm.common import stage
+from voxmill.llm.common import small, stage
 from voxmill.llm.ranges import cuts_of, place_of
 
 DEPTH = 5
@@ -82,6 +82,24 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
         return ((keys * _MIX) >> np.uint64(33)).astype(np.int64) % buckets
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Bytes of equal weight side by side; runs of zeros then vanish wherever blocks are compressed."""
+    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def from_planes(data: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as planes of their differences."""
+    return planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(data, np.uint64), dtype=np.uint64)
+
+
 def _blobs(kind: int, chunk: int, keys: np.ndarray, values: np.ndarray, buckets: int) -> pa.RecordBatch:
     """A row per bucket: its sorted keys and their values as bytes."""
     where = bucket_of(keys, buckets)
@@ -91,7 +109,7 @@ def _blobs(kind: int, chunk: int, keys: np.ndarray, values: np.ndarray, buckets:
     ends = np.r_[edges[1:], len(keys)]
     n = len(edges)
     return pa.RecordBatch.from_arrays(
-        [pa.array([kind] * n, pa.int32()), pa.array([chunk] * n, pa.int64()), pa.array(where[edges], pa.int64()), pa.array([keys[a:b].tobytes() for a, b in zip(edges, ends)], pa.binary()), pa.array([values[a:b].tobytes() for a, b in zip(edges, ends)], pa.binary())],
+        [pa.array([kind] * n, pa.int32()), pa.array([chunk] * n, pa.int64()), pa.array(where[edges], pa.int64()), pa.array([pack_keys(keys[a:b]) for a, b in zip(edges, ends)], pa.binary()), pa.array([planes(values[a:b]) for a, b in zip(edges, ends)], pa.binary())],
         names=["kind", "chunk", "bucket", "keys", "vals"],
     )
 
@@ -145,13 +163,13 @@ def gather(chunked: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_chunks: defaultdict[int, _Gathered] = defaultdict(_Gathered)
-        for batch in batches:
+        for batch in small(batches):
             for chunk, held, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 found = open_chunks[chunk]
                 found.add(text.encode("utf-8", "surrogatepass"), held)
-                if found.size >= 2 * CHUNK_BYTES:
+                if found.size >= 1.25 * CHUNK_BYTES:
                     yield from open_chunks.pop(chunk).blobs(chunk, buckets)
-            if sum(x.size for x in open_chunks.values()) >= 2 * CHUNK_BYTES:
+            if sum(x.size for x in open_chunks.values()) >= 1.25 * CHUNK_BYTES:
                 for chunk in list(open_chunks):
                     yield from open_chunks.pop(chunk).blobs(chunk, buckets)
         for chunk, found in open_chunks.items():
@@ -162,8 +180,8 @@ def gather(chunked: DataFrame, buckets: int) -> DataFrame:
 
 def _read(table: pa.Table, value_type: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(chunk, key, value) of all entries of some blobs."""
-    keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
-    vals = [np.frombuffer(x, value_type) for x in table.column("vals").to_pylist()]
+    keys = [unpack_keys(x) for x in table.column("keys").to_pylist()]
+    vals = [from_planes(x, value_type) for x in table.column("vals").to_pylist()]
     chunks = np.repeat(table.column("chunk").to_numpy(), [len(k) for k in keys])
     none = np.zeros(0)
     return chunks, np.concatenate(keys or [none.astype(np.uint64)]), np.concatenate(vals or [none.astype(value_type)])
@@ -178,7 +196,7 @@ def _by_chunk(kind: int, bucket: int, chunks: np.ndarray, keys: np.ndarray, valu
     ends, n = np.r_[edges[1:], len(keys)], len(edges)
     return pa.table([
         pa.array([kind] * n, pa.int32()), pa.array(chunks[edges], pa.int64()), pa.array([bucket] * n, pa.int64()),
-        pa.array([keys[a:b].tobytes() for a, b in zip(edges, ends)], pa.binary()), pa.array([values[a:b].tobytes() for a, b in zip(edges, ends)], pa.binary()),
+        pa.array([pack_keys(keys[a:b]) for a, b in zip(edges, ends)], pa.binary()), pa.array([planes(values[a:b]) for a, b in zip(edges, ends)], pa.binary()),
     ], names=["kind", "chunk", "bucket", "keys", "vals"])
 
 
