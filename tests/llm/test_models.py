@@ -163,6 +163,31 @@ def test_extraction(spark):
     assert html_text.extract(d.limit(0), html_text.fit(d.limit(0))).count() == 0
 
 
+def test_blocks_inside_inline_elements_are_kept():
+    def whole(body):
+        nodes = html_text.elements(html_text.parse(body))
+        assert html_text.features(nodes)[0, 1] > 0
+        return html_text.text_of(nodes, html_text.decode(nodes, np.full(len(nodes), 5.0)))
+
+    assert whole("<div><a href=/x><h2>Title</h2></a><p>text</p></div>") == "Title text"
+    assert whole("<font><p>one</p></font><span><div>two<i><p>three</p></i></div></span>") == "one two three"
+    assert whole("<div><b>one<br><p>two</p><p>three</p></div><p>four") == "one two three four"
+    assert whole("<table><tr><td><i>a<p>b</p><td>c</table><ul><li><a name=n>d<div>e</div><li>f</ul>") == "a b c d e f"
+    assert whole("<p>seen</p><span hidden><div>not</div></span>") == "seen"
+    # a dropped block inside an inline element goes alone
+    nodes = html_text.elements(html_text.parse("<div><b>one<p>two</p><nav>off</nav><p>three</p></b></div>"))
+    kept = html_text.decode(nodes, np.array([-5.0 if x.tag == "nav" else 5.0 for x in nodes]))
+    assert html_text.text_of(nodes, kept) == "one two three"
+    # a link around blocks counts as link text, an anchor that is never closed does not
+    tally = lambda body: [html_text._tally(x)[:2] for x in html_text.elements(html_text.parse(body)) if x.tag == "h2"]
+    assert tally("<a href=/x><h2>Title</h2></a><h2>Other</h2>") == [(5, 5), (5, 0)]
+    assert tally("<div><a name=x><h2>Title</h2></div>") == [(5, 0)]
+    # labels and training blocks see them as well
+    nodes = html_text.elements(html_text.parse("<article><font><p>main text</p></font></article><footer><b><p>foot</p></b></footer>"))
+    assert [x.tag for x, y in zip(nodes, html_text.plain_labels(nodes)) if y] == ["#root", "article", "p"]
+    assert html_text._plain_blocks(nodes[0]) == (["main text"], ["foot"])
+
+
 def test_decoding_is_consistent_and_best():
     rng = random.Random(4)
     for _ in range(60):

@@ -67,6 +67,9 @@ class Node:
     parent: Node | None = None
     parts: list[Node | str] = field(default_factory=list)
     hidden: bool = False
+    closed: bool = False
+    above: Node | None = None
+    linked: bool = False
 
     def children(self) -> list[Node]:
         return [x for x in self.parts if isinstance(x, Node)]
@@ -105,6 +108,7 @@ def parse(page: str | None) -> Node:
                     break
                 node = node.parent
             if node is not root:
+                node.closed = True
                 at = node.parent
             continue
         if tag == "br" or tag == "hr" or tag == "wbr" or tag in VOID:
@@ -145,23 +149,40 @@ def clean_text(pieces: list[str]) -> str:
 
 
 def elements(root: Node) -> list[Node]:
-    """Elements that may hold text, parents first: not raw ones, not the head, and inline ones only as part of their block."""
+    """Elements that may hold text, parents first: not raw ones, not the head, and inline ones only as part of their block.
+
+    Blocks below an inline element are listed too; ``above`` is the nearest listed ancestor, and
+    ``linked`` tells of a link around the block (an anchor that is never closed is none).
+    """
     out: list[Node] = []
-    waiting = [root]
+    waiting: list[tuple[Node, Node | None, bool]] = [(root, None, False)]
     while waiting:
-        node = waiting.pop()
-        out.append(node)
-        waiting += [c for c in reversed(node.children()) if c.tag not in RAW and c.tag not in HIDDEN and c.tag not in INLINE]
+        node, above, linked = waiting.pop()
+        if node.tag not in INLINE:
+            node.above, node.linked = above, linked
+            out.append(node)
+            above = node
+        elif node.hidden:
+            continue
+        else:
+            linked = linked or (node.tag == "a" and node.closed)
+        waiting += [(c, above, linked) for c in reversed(node.children()) if c.tag not in RAW and c.tag not in HIDDEN]
     return out
 
 
+def _parents(nodes: list[Node]) -> list[int]:
+    """Place of each element's nearest listed ancestor."""
+    place = {id(x): k for k, x in enumerate(nodes)}
+    return [place[id(x.above)] if x.above is not None else 0 for x in nodes]
+
+
 GROUP_OF = {w: [k for k, g in enumerate(GROUPS) if w in g] for g in GROUPS for w in g}
 
 
 def _tally(node: Node) -> tuple[int, int, int, int, int]:
     """(characters, characters in links, commas and stops, tags, links) of the text that belongs to the node's own block."""
     chars = linked = stops = tags = links = 0
-    waiting: list[tuple[Node, bool]] = [(node, False)]
+    waiting: list[tuple[Node, bool]] = [(node, node.linked)]
     while waiting:
         at, in_link = waiting.pop()
         for x in at.parts:
@@ -179,10 +200,9 @@ def _tally(node: Node) -> tuple[int, int, int, int, int]:
 
 def features(nodes: list[Node]) -> np.ndarray:
     """A row for each element of a page, in the order of :func:`elements`."""
-    place = {id(n): k for k, n in enumerate(nodes)}
     n = len(nodes)
     own = np.array([_tally(x) for x in nodes], float).reshape(n, 5)
-    parent = np.array([place[id(x.parent)] if x.parent is not None else 0 for x in nodes])
+    parent = np.array(_parents(nodes))
     depth, whole = np.zeros(n), own.copy()
     whole[:, 3] += 1
     kids, paragraphs, below = np.zeros(n), np.array([float(x.tag == "p") for x in nodes]), np.ones(n)
@@ -225,8 +245,7 @@ def features(nodes: list[Node]) -> np.ndarray:
 def decode(nodes: list[Node], margin: np.ndarray) -> np.ndarray:
     """Kept elements of the most likely consistent labelling."""
     n = len(nodes)
-    place = {id(x): k for k, x in enumerate(nodes)}
-    parent = [place[id(x.parent)] if x.parent is not None else 0 for x in nodes]
+    parent = _parents(nodes)
     yes, no = -np.logaddexp(0, -margin), -np.logaddexp(0, margin)
     drop, stay = no.copy(), yes.copy()
     for k in range(n - 1, 0, -1):
@@ -285,7 +304,7 @@ def _plain_blocks(root: Node) -> tuple[list[str], list[str]]:
         x: Node | None = node
         while x is not None:
             line.append(x)
-            x = x.parent
+            x = x.above
         texts = clean_text([p for p in _inline(node)])
         if not texts:
             continue
@@ -372,9 +391,8 @@ def lay_out(rng: random.Random, main: list[str], other: list[str]) -> tuple[str,
 
 def plain_labels(nodes: list[Node]) -> list[float] | None:
     """Labels of a page's own elements by elements of plain meaning; None if no main one holds text."""
-    place = {id(x): k for k, x in enumerate(nodes)}
     n = len(nodes)
-    parent = [place[id(x.parent)] if x.parent is not None else 0 for x in nodes]
+    parent = _parents(nodes)
     inside, other, holds = [False] * n, [False] * n, [False] * n
     for k, x in enumerate(nodes):
         inside[k] = x.tag in MAIN_TAGS or (k > 0 and inside[parent[k]])
