@@ -188,6 +188,24 @@ def test_blocks_inside_inline_elements_are_kept():
     assert html_text._plain_blocks(nodes[0]) == (["main text"], ["foot"])
 
 
+def test_head_without_end_tag():
+    def whole(body):
+        nodes = html_text.elements(html_text.parse(body))
+        return html_text.text_of(nodes, html_text.decode(nodes, np.full(len(nodes), 5.0)))
+
+    inner = "<meta charset=utf-8><title>t</title><link href=x><style>p{}</style><script>var x='<p>'</script>\n"
+    body = "<article><h1>One</h1><p>two</article>"
+    for page_ in (
+        f"<html><head>{inner}<body>{body}</body></html>", f"<html><head>{inner}{body}", f"<head>{inner}</head><body>{body}",
+        f"<html><head><title>t<body>{body}", f"<head><title>a <div> b</title></head>{body}", f"<html><head>{inner}<span>One</span><p>two</p>",
+    ):
+        assert whole(page_) == "One two"
+    assert whole("<head><title>t</title>One two") == whole("<head><title>t</title>One<p>two") == "One two"
+    nodes = html_text.elements(html_text.parse(f"<html><head>{inner}<body>{body}"))
+    assert [x.tag for x in nodes] == ["#root", "html", "body", "article", "h1", "p"]
+    assert html_text.plain_labels(nodes) == [1.0] * 6
+
+
 def test_decoding_is_consistent_and_best():
     rng = random.Random(4)
     for _ in range(60):

@@ -39,6 +39,8 @@ CLOSES = {
 }
 SCOPES = frozenset("ul ol dl table body html div section article aside nav header footer main form td th blockquote".split())
 HIDDEN = frozenset("head title".split())
+#: What may open inside the head; anything else, or text, ends it.
+HEAD = frozenset("title meta link base style script noscript template".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.\-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?", re.S)
@@ -94,7 +96,10 @@ def parse(page: str | None) -> Node:
         if m.start() < end:
             continue
         if m.start() > end:
-            at.parts.append(page[end : m.start()])
+            text = page[end : m.start()]
+            if at.tag == "head" and text.strip():
+                at = at.parent
+            at.parts.append(text)
         end = m.end()
         tag = m.group(2)
         if tag is None:
@@ -111,6 +116,9 @@ def parse(page: str | None) -> Node:
                 node.closed = True
                 at = node.parent
             continue
+        if tag not in HEAD:
+            while at.tag in HIDDEN:
+                at = at.parent
         if tag == "br" or tag == "hr" or tag == "wbr" or tag in VOID:
             if tag != "wbr":
                 at.parts.append(" ")
@@ -132,6 +140,11 @@ def parse(page: str | None) -> Node:
         words, hidden = _words(m.group(3)) if m.group(3).strip(" /\t\r\n") else ((), False)
         node = Node(tag, words, at, [], hidden)
         at.parts.append(node)
+        if tag == "title":  # its content is text, tags or not; one that is never closed ends with the head
+            close = re.compile(r"</title\s*>", re.I).search(page, end)
+            end = close.end() if close else end
+            at = at if close else node
+            continue
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, end)
             end = close.end() if close else len(page)
@@ -140,6 +153,8 @@ def parse(page: str | None) -> Node:
         if not m.group(3).endswith("/") or tag in BLOCK or tag in INLINE:
             at = node
     if end < len(page):
+        if at.tag == "head":
+            at = at.parent
         at.parts.append(page[end:])
     return root
 
