@@ -49,6 +49,28 @@ def test_toxicity_without_labels(spark):
     assert all(r["predicted"] == 0 for r in toxicity.score(d, toxicity.fit(d, only)).collect())
 
 
+def test_toxicity_rows_are_bounded_and_weighted(spark, monkeypatch):
+    texts = [(k, f"some plain words {chr(97 + k % 20) * 3}" + (" vileness women" if k % 4 == 0 else "")) for k in range(40)]
+    lab = spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k in range(40)], "doc_id long, quality int, toxic int")
+    plain, seen = toxicity._descend, []
+    monkeypatch.setattr(toxicity, "_descend", lambda y, *more: seen.append((len(y), y, more)) or plain(y, *more))
+    used = [k for k in range(40) if zlib.crc32(str(k).encode()) % 5]
+    bad, fine = next(k for k in used if k % 4 == 0), next(k for k in used if k % 4)
+    repeated = spark.createDataFrame(texts + [texts[bad]] * 200 + [texts[fine]] * 100, "doc_id long, text string")
+    model = toxicity.fit(repeated, lab, most_rows=60)
+    assert seen[-1][0] == len(used) and seen[-1][2][0].sum() == len(used) + 300
+    # weights stand for repeated rows
+    y, (weight, on, swaps, *rest) = seen[-1][1], seen[-1][2]
+    times = weight.astype(int)
+    many = lambda x: [v for v, n in zip(x, times) for _ in range(n)]
+    w, b = plain(np.repeat(y, times), np.ones(times.sum()), many(on), many(swaps), *rest)
+    assert np.isclose(b, model.bias) and np.allclose([v for v in w if v], list(model.weights.values()))
+    # many different texts under one id stay within the bound
+    different = spark.createDataFrame(texts + [(bad, f"vileness {k}") for k in range(300)], "doc_id long, text string")
+    toxicity.fit(different, lab, most_rows=60)
+    assert seen[-1][0] == 60
+
+
 def slow_tree_score(train, texts, depth):
     """Context-tree weighting by its definition, node by node."""
     counts = collections.defaultdict(lambda: [0, 0])

@@ -100,15 +100,16 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 30_000, columns: in
         return Model(0.0, {})
     spark = docs.sparkSession
     sample = F.broadcast(spark.createDataFrame(chosen, "doc_id long, y int"))  # at most most_rows rows
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sample, "doc_id").select("y", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sample, "doc_id")
+    texts = _distinct(texts, most_rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: dict[int, Counter[str]] = {0: Counter(), 1: Counter()}
             rows = Counter()
-            for y, text in (pair for part in small([batch]) for pair in zip(part.column(0).to_pylist(), part.column(1).to_pylist())):
-                seen[y].update({f for w in word_set(text) for f in features_of(w)})
-                rows[y] += 1
+            for y, n, text in (row for part in small([batch]) for row in zip(*(c.to_pylist() for c in part.columns))):
+                seen[y].update(dict.fromkeys((f for w in word_set(text) for f in features_of(w)), n))
+                rows[y] += n
             names = list(seen[0].keys() | seen[1].keys()) + [""]
             seen[0][""], seen[1][""] = rows[0], rows[1]
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([seen[0][n] for n in names], pa.int64()), pa.array([seen[1][n] for n in names], pa.int64())], ["feature", "clean", "toxic"])
@@ -129,25 +130,35 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 30_000, columns: in
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             on, swaps = [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 found = word_set(text)
                 on.append(sorted({index[f] for w in found for f in features_of(w) if f in index}))
                 swaps.append([index[x] for w in sorted(found & GROUP_OF.keys()) for other in GROUP_OF[w] if other != w for x in (w, other)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(on, pa.list_(pa.int32())), pa.array(swaps, pa.list_(pa.int32()))], ["y", "features", "swaps"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(on, pa.list_(pa.int32())), pa.array(swaps, pa.list_(pa.int32()))], ["y", "n", "features", "swaps"])
 
-    rows = texts.mapInArrow(encode, "y int, features array<int>, swaps array<int>").toPandas()
-    rows = rows.iloc[sorted(range(len(rows)), key=lambda k: (rows["y"][k], tuple(rows["features"][k]), tuple(rows["swaps"][k])))]
-    weights, bias = _descend(rows["y"].to_numpy(float), list(rows["features"]), list(rows["swaps"]), len(names), [index[t] for t in GROUP_OF], ridge, swap, steps)
+    rows = texts.mapInArrow(encode, "y int, n long, features array<int>, swaps array<int>").toPandas()
+    rows = rows.iloc[sorted(range(len(rows)), key=lambda k: (rows["y"][k], rows["n"][k], tuple(rows["features"][k]), tuple(rows["swaps"][k])))]
+    weights, bias = _descend(rows["y"].to_numpy(float), rows["n"].to_numpy(float), list(rows["features"]), list(rows["swaps"]), len(names), [index[t] for t in GROUP_OF], ridge, swap, steps)
     return Model(bias, {name: float(w) for name, w in zip(names, weights) if w})
 
 
-def _descend(y: np.ndarray, on: list[Iterable[int]], swaps: list[Iterable[int]], columns: int, identity: list[int], ridge: float, swap: float, steps: int) -> tuple[np.ndarray, float]:
+def _distinct(texts: DataFrame, most: int) -> DataFrame:
+    """Rows (y, n, text) from (doc_id, y, text): each text of an id once, n times in the table; at most ``most``, by hash."""
+    keyed = texts.withColumn("h", F.xxhash64("text"))
+    counted = keyed.groupBy("doc_id", "h").agg(F.first("y").alias("y"), F.count("*").alias("n"))
+    chosen = F.broadcast(sampled(counted, F.xxhash64("doc_id", "h"), most))
+    once = keyed.select("doc_id", "h", "text").join(chosen.select("doc_id", "h", "y", "n"), ["doc_id", "h"]).groupBy("doc_id", "h")
+    return once.agg(F.first("y").alias("y"), F.first("n").alias("n"), F.min("text").alias("text")).select("y", "n", "text")
+
+
+def _descend(y: np.ndarray, weight: np.ndarray, on: list[Iterable[int]], swaps: list[Iterable[int]], columns: int, identity: list[int], ridge: float, swap: float, steps: int) -> tuple[np.ndarray, float]:
     """Logistic loss with balanced classes by accelerated gradient steps scaled per column."""
     sizes = np.array([len(x) for x in on])
     col = np.concatenate([np.asarray(x, np.int64) for x in on]) if sizes.sum() else np.zeros(0, np.int64)
     row = np.repeat(np.arange(len(on)), sizes)
     pairs = np.concatenate([np.asarray(x, np.int64) for x in swaps] or [np.zeros(0, np.int64)]).reshape(-1, 2).astype(np.int64)
-    share = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
+    share = weight * np.where(y > 0, 0.5 / max(1, (weight * y).sum()), 0.5 / max(1, (weight * (1 - y)).sum()))
+    times = np.repeat(weight, [len(x) // 2 for x in swaps])
     w, b, m, v = np.zeros(columns), 0.0, np.zeros(columns + 1), np.zeros(columns + 1)
     ident = np.asarray(identity)
     for t in range(1, steps + 1):
@@ -156,8 +167,8 @@ def _descend(y: np.ndarray, on: list[Iterable[int]], swaps: list[Iterable[int]],
         e = share * (p - y)
         g = np.bincount(col, e[row], columns) + ridge * w
         if len(pairs):
-            gap = w[pairs[:, 0]] - w[pairs[:, 1]]
-            g += swap * (np.bincount(pairs[:, 0], gap, columns) - np.bincount(pairs[:, 1], gap, columns)) / len(pairs)
+            gap = times * (w[pairs[:, 0]] - w[pairs[:, 1]])
+            g += swap * (np.bincount(pairs[:, 0], gap, columns) - np.bincount(pairs[:, 1], gap, columns)) / times.sum()
         g[ident] += swap * w[ident]
         full = np.append(g, e.sum())
         m, v = 0.9 * m + 0.1 * full, 0.999 * v + 0.001 * full**2
