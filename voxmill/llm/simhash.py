@@ -23,7 +23,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxmill.llm.common import components, fresh, stage
+from voxmill.llm.common import components, stage
+from voxmill.llm.near_copies import keep_best, text_key
 
 SEED = 42
 BITS = 64
@@ -138,10 +139,8 @@ def near_components(docs: DataFrame, distance: int = 4, width: int = 4, segments
 def keep_one(docs: DataFrame, distance: int = 4, width: int = 4, segments: int = 3) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the one of the smallest doc_id.
 
-    A row without a doc_id goes by its text; its group keeps it only if the group has no
-    id at all. Of rows that share the smallest doc_id one stays.
+    A row without a doc_id stays only if its group has no id at all. Of different texts with
+    that id the one of the smallest hash stays, and of its repeated rows one.
     """
-    key, by = fresh(docs, "_kept"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
-    groups = near_components(docs.select(by.alias("doc_id"), "text"), distance, width, segments)
-    kept = groups.select(F.col("component_id").alias(key)).distinct()
-    return docs.withColumn(key, by).join(kept, key, "left_semi").dropDuplicates([key]).drop(key)
+    groups = near_components(docs.select(text_key(F.col("text")).alias("doc_id"), "text"), distance, width, segments)
+    return keep_best(docs, groups.select(F.col("doc_id").alias("k"), F.col("component_id").alias("label")).distinct())
