@@ -40,7 +40,37 @@ WITH RECURSIVE prefs AS (
 SELECT doc_id, slot::INTEGER AS slot, owners.k::INTEGER AS shard FROM (
  SELECT doc_id, ('0x' || md5(coalesce(doc_id::VARCHAR, text, ''))[1:15])::BIGINT % 6421 AS s FROM documents) d JOIN owners ON owners.slot = d.s"""
 
+#: Unsigned crc32 of a number's decimal text: the reflected polynomial, bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({value}::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+  lambda s, x: list_reduce(list_prepend(xor(s, x), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda v, b: xor(v >> 1, 3988292384 * (v & 1)))))"""
+
+#: A node's key is the digests of its turns one after another, 64 characters each, so a prefix of the key is an ancestor's.
+OP13 = f"""
+WITH turns AS (
+  SELECT conv_id, md5(coalesce(role, '')) || md5(coalesce(text, '')) AS dig, strlen(coalesce(text, '')) AS bytes,
+   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS r
+  FROM conversations WHERE conv_id IS NOT NULL),
+ convs AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_CRC.format(value='conv_id')} % 9 AS h FROM (SELECT DISTINCT conv_id FROM turns)),
+ rebuilt AS (
+  SELECT c.conv_id, 0 AS own, t.r, t.dig, t.bytes FROM convs c JOIN turns t ON t.conv_id = c.base AND t.r <= c.h
+  UNION ALL SELECT t.conv_id, 1, t.r, t.dig, t.bytes FROM turns t JOIN convs c ON c.conv_id = t.conv_id WHERE t.r > c.h),
+ prefixes AS (
+  SELECT conv_id, bytes, row_number() OVER w AS depth, string_agg(dig, '') OVER w AS k FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY own, r)
+  UNION ALL SELECT conv_id, 0, 0, '' FROM convs),
+ whole AS (SELECT conv_id, max(depth) AS depth, arg_max(k, depth) AS k FROM prefixes GROUP BY conv_id),
+ lists AS (SELECT k, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS listed FROM whole GROUP BY k),
+ nodes AS (SELECT k, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes FROM prefixes GROUP BY k, depth),
+ children AS (SELECT left(k, 64 * (depth - 1)::BIGINT) AS k, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+ below AS (
+  SELECT left(n.k, 64 * j) AS k, sum((n_convs - 1) * bytes) AS saved, count(*) FILTER (WHERE c.k IS NULL) AS leaves
+  FROM (SELECT *, unnest(generate_series(0, depth::BIGINT)) AS j FROM nodes) n LEFT JOIN children c ON c.k = n.k GROUP BY 1)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs, coalesce(c.n, 0)::BIGINT AS n_children,
+ b.leaves::BIGINT AS n_leaves, b.saved::BIGINT AS saved_tokens, sha256(coalesce(l.listed, '')) AS ends_sha256
+FROM nodes n JOIN below b ON b.k = n.k LEFT JOIN children c ON c.k = n.k LEFT JOIN lists l ON l.k = n.k
+LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.k = left(n.k, 64 * (n.depth - 1)::BIGINT)"""
+
 ORACLE: dict[str, str] = {
     "op7_contained_items": OP7,
     "op8_shard_lookup": OP8,
+    "op13_prefix_trie": OP13,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.llm import decontaminate, html_text, language_model, mixing, order_minhash, sharding, simhash, token_store, toxicity, url_rules
+from voxmill.llm import decision_lists, decontaminate, html_text, language_model, mixing, order_minhash, periodic, prefix_trie, sharding, simhash, token_store, toxicity, url_rules
 from voxmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).alias("held_out"), "score", "predicted")
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every text, with the verdict of the base rules and of rules learned from ``labels.quality``."""
+    docs = table(spark, sf_dir, "documents")
+    return decision_lists.judge(docs, decision_lists.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every text, a tenth of the texts with a periodic tail; a null id has no crc32, so its text stays as it is."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodic.digest(periodic.find(docs.withColumn("text", periodic.with_tail(F.col("doc_id"), F.col("text")))))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of the rebuilt conversations; rows without a conversation id belong to none."""
+    return prefix_trie.nodes(prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
 CATALOG: dict[str, Query] = {
     "op1_url_rules": op1_url_rules,
     "op2_order_minhash": op2_order_minhash,
@@ -84,4 +101,7 @@ CATALOG: dict[str, Query] = {
     "op8_shard_lookup": op8_shard_lookup,
     "op9_context_tree": op9_context_tree,
     "op10_toxicity": op10_toxicity,
+    "op11_quality_rules": op11_quality_rules,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_prefix_trie": op13_prefix_trie,
 }
