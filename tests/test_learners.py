@@ -143,6 +143,76 @@ def test_forest_and_subtree_reactions(spark, make_records):
     assert all(r["acc"] > 0.6 for r in acc), acc
 
 
+def _wave(n, spread=1.0):
+    rnd = random.Random(21)
+    out = []
+    for i in range(n):
+        a, b = rnd.random(), rnd.random() ** 3
+        a = spread if i == 5 else a
+        out.append(("s", "d", str(i), {"a": a, "b": b, "lab": "hot" if (a > 0.5) == (b < 0.4) or a > 0.9 else "cold", "y": 10 * math.sin(9 * a) + 20 * b}))
+    return out
+
+
+def _tree_run(make_records, rows):
+    """Both trees with default arguments in one chunk: depth and error of each, and all thresholds."""
+    records = cut(make_records(rows))
+    wanted = [(1, "HoeffdingTree", "lab", C, {}), (8, "FIMT-DD", "y", R, {})]
+    # the targets must not be features of each other
+    active = cut(control.fold_requests(tables.create_requests(records, wanted, per_stream=False)))
+    known = active.select("model_id", F.array(F.lit("a"), F.lit("b")).alias("features"))
+    fitted = batch.fit(active, records, schemas=known)
+    truth = records.select("recordID", F.col("fields")["lab"].alias("lab"), F.col("fields")["y"].cast("double").alias("y"))
+    scored = batch.answer(fitted, records).join(truth, "recordID")
+    wrong = F.when(F.col("algorithmType") == "FIMT-DD", F.abs(F.col("prediction").cast("double") - F.col("y"))).otherwise((F.col("prediction") != F.col("lab")).cast("double"))
+    errors = {r["algorithmType"]: r["e"] for r in scored.groupBy("algorithmType").agg(F.avg(wrong).alias("e")).collect()}
+    nodes = fitted.states["trees"]["nodes"].join(active.select("model_id", "algorithm_type"), "model_id")
+    depths = {r["algorithm_type"]: r["d"] for r in nodes.groupBy("algorithm_type").agg(F.max("depth").alias("d")).collect()}
+    splits = {(r["algorithm_type"], r["node_id"], r["feature"], r["threshold"]) for r in nodes.where("child >= 0").collect()}
+    return depths, errors, splits
+
+
+def test_ten_times_the_rows_give_a_deeper_tree_and_a_smaller_error(spark, make_records):
+    small, large = _tree_run(make_records, _wave(400)), _tree_run(make_records, _wave(4000))
+    for name in ("HoeffdingTree", "FIMT-DD"):
+        assert large[0][name] > small[0][name] >= 1, (name, small[0], large[0])
+        assert large[1][name] < small[1][name], (name, small[1], large[1])
+
+
+def test_one_outlier_changes_no_split(spark, make_records):
+    plain, odd = _tree_run(make_records, _wave(500, 0.5)), _tree_run(make_records, _wave(500, 1e9))
+    assert plain[2] and {s[:3] for s in plain[2]} == {s[:3] for s in odd[2]}
+    near = {s[:3]: s[3] for s in plain[2]}
+    assert all(abs(near[s[:3]] - s[3]) < 0.01 for s in odd[2])
+
+
+def test_cuts_are_quantiles_and_bins_count_them(spark):
+    rnd = random.Random(4)
+    rows = [("m", i, [rnd.gauss(0, 1), float(rnd.randrange(3)), None if i % 2 else 1e6 * rnd.random()]) for i in range(400)]
+    df = spark.createDataFrame(rows, "model_id string, seq long, x array<double>")
+    got = df.groupBy("model_id").agg(F.collect_list("x").alias("s")).selectExpr("model_id", f"{ss.quantile_cuts('s')} AS cuts")
+    cuts = got.first()["cuts"]
+    for p in range(3):
+        v = sorted(r[2][p] for r in rows if r[2][p] is not None)
+        assert cuts[p] == sorted({v[math.ceil(j * len(v) / 32) - 1] for j in range(1, 32)})
+    for r in df.join(got, "model_id").selectExpr("x", f"{ss.cut_bins('x', 'cuts')} AS b").collect():
+        assert r["b"] == [0 if v is None else sum(c < v for c in cuts[p]) for p, v in enumerate(r["x"])]
+    many = spark.range(200_000).selectExpr("id AS seq")
+    assert 300 < many.where(ss.drawn("200000D", "1")).count() < 800 and many.where(ss.drawn("512D", "1")).count() == 200_000
+
+
+def test_outgrown_cuts_are_renewed(spark, make_records):
+    """A first chunk of a few rows does not fix the thresholds for good."""
+    rows = _wave(1500)
+    records = cut(make_records(rows))
+    active = cut(control.fold_requests(tables.create_requests(records, [(1, "HoeffdingTree", "lab", C, {})], per_stream=False)))
+    first = batch.fit(active, records.where("seq < 12"))
+    both = batch.fit(active, records.where("seq >= 12"), previous=first)
+    assert first.states["trees"]["cuts"].first()["cut_n"] == 12
+    assert both.states["trees"]["nodes"].agg(F.max("depth")).first()[0] >= 2
+    held = both.states["trees"]["stats"].where("pos < 0").agg(F.sum("n")).first()[0]
+    assert held <= 1500
+
+
 def test_graft_keeps_the_tree_consistent(spark):
     node = "model_id string, tree_id int, node_id int, "
     nodes = [("m", 0, 0, 0, 0.5, 1, 0, 0.0), ("m", 0, 1, -1, None, -1, 1, 0.0), ("m", 0, 2, 1, 0.5, 3, 1, 0.0), ("m", 0, 3, -1, None, -1, 2, 0.0), ("m", 0, 4, -1, None, -1, 2, 0.0)]
@@ -153,6 +223,7 @@ def test_graft_keeps_the_tree_consistent(spark):
         "stats": spark.createDataFrame(stats, node + "pos int, bin int, label string, n double, sy double, syy double"),
         "leaf_models": spark.createDataFrame([], node + "pos int, weight double"),
         "errors": spark.createDataFrame([], node + "at long, n double, sx double, sxx double"),
+        "cuts": spark.createDataFrame([("m", 7, 1, [[0.1]], 5.0)], node + "cuts array<array<double>>, cut_n double"),
         "roster": spark.createDataFrame([("m", 0, 0, "main", -1, -1, -1)], "model_id string, tree_id int, slot int, role string, host_tree int, host_node int, since long"),
     }
     swaps = spark.createDataFrame([("m", 7, 0, 2)], "model_id string, tree_id int, host_tree int, host_node int")

@@ -3,18 +3,28 @@
 Statistics are counts per (model, tree, node, feature position, bin, label)
 with n, sum y and sum y^2, all additive. Position -1 holds the node's own
 class counts, position -2 those it inherited from the split that created it.
+
+Trees bin a feature at the quantiles of the node's own rows, taken from a sample
+of about ``SKETCH`` of them by a hash of their order, so thresholds follow the
+rows that a node sees and an outlier moves none. ``bin_edges`` and ``bins`` are
+the plain equal-width form over a range.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import coercion
-from ..functions.hashing import lcg_sql
+from ..functions.hashing import GRAIN, lcg_sql
+from ..session import broadcast_within
 
 BINS = 32
+#: Rows of a node, or of a model for the scale of its features, that quantiles are read from.
+SKETCH = 512
 OWN, INHERITED = -1, -2
 NODE = ["model_id", "tree_id", "node_id"]
 STAT = [*NODE, "pos", "bin", "label"]
@@ -63,15 +73,44 @@ def bins(x: str = "x", lo: str = "lo", hi: str = "hi") -> Column:
     )
 
 
+def drawn(rows: str, seed: str) -> str:
+    """Whether a row is one of about ``SKETCH`` of ``rows``, by its order; all are if there are no more."""
+    draw = f"(double({lcg_sql('seq', seed)}) * {GRAIN} + {lcg_sql('seq', f'({seed}) + 7919')})"
+    return f"{draw} * {rows} < {float(SKETCH * GRAIN * GRAIN)!r}D"
+
+
+def quantile_cuts(sample: str) -> str:
+    """Per feature the distinct inner quantiles, ascending, of an array of vectors; missing values are left out."""
+    inner = f"filter(transform(sequence(1, {BINS - 1}), j -> get(v, int(ceil(j * size(v) / {float(BINS)}D)) - 1)), c -> c IS NOT NULL)"
+    values = f"array_sort(filter(transform({sample}, r -> get(r, p)), c -> c IS NOT NULL))"
+    return f"transform(get({sample}, 0), (_, p) -> get(transform(array({values}), v -> array_distinct({inner})), 0))"
+
+
+def cut_bins(x: str, cuts: str) -> str:
+    """Number of cuts below each value, by halving; a missing value goes to bin 0, and so left."""
+    steps = ", ".join(str(1 << k) for k in reversed(range(BINS.bit_length() - 1)))
+    return f"transform({cuts}, (c, i) -> aggregate(array({steps}), 0, (p, s) -> CASE WHEN get({x}, i) > get(c, p + s - 1) THEN p + s ELSE p END))"
+
+
+def scales(instances: DataFrame) -> DataFrame:
+    """Scale of a model's features and of its target: lo and hi arrays (outer quantiles) by position, y0, ysd."""
+    known = instances.groupBy("model_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.coalesce(F.avg("y"), F.lit(0.0)).alias("y0"), F.coalesce(F.stddev_pop("y"), F.lit(0.0)).alias("ysd")
+    )
+    picked = instances.join(broadcast_within(known.select("model_id", "rows")), "model_id").where(drawn("rows", "0"))
+    cuts = picked.groupBy("model_id").agg(F.collect_list("x").alias("s")).selectExpr("model_id", f"{quantile_cuts('s')} AS c")
+    return cuts.join(known, "model_id").selectExpr("model_id", "transform(c, v -> get(v, 0)) AS lo", "transform(c, v -> get(v, size(v) - 1)) AS hi", "y0", "ysd")
+
+
 def edge(lo: Column, hi: Column, bin_: Column) -> Column:
     """Upper edge of a bin, the threshold of a split after it."""
     return lo + (hi - lo) * (bin_ + 1) / F.lit(BINS)
 
 
 def centred(x: str = "x", lo: str = "lo", hi: str = "hi") -> Column:
-    """Features scaled to [-0.5, 0.5] by the bin range; missing is 0."""
+    """Features scaled so that the range is [-0.5, 0.5], cut off at 1; missing is 0."""
     return F.expr(
-        f"transform({x}, (v, i) -> coalesce(greatest(-0.5D, least(0.5D, "
+        f"transform({x}, (v, i) -> coalesce(greatest(-1D, least(1D, "
         f"(v - get({lo}, i)) / nullif(get({hi}, i) - get({lo}, i), 0D) - 0.5D)), 0D))"
     )
 
@@ -80,14 +119,15 @@ def collect(routed: DataFrame) -> DataFrame:
     """Statistics of routed rows (NODE, label, y, y0, w, bins, z, g).
 
     One aggregate with map-side combine: shuffled are only non-empty cells.
-    ``sg`` sums the leaf-model gradient of each feature.
+    ``sg`` sums the leaf-model gradient of each feature, ``rows`` counts without weights.
     """
     long = routed.where("w > 0").selectExpr(
         *NODE, "coalesce(label, '') AS label", "double(w) AS w", "coalesce(y - y0, 0D) AS yc", "coalesce(g, 0D) AS g",
         "posexplode(concat(array(named_struct('bins', 0, 'z', 0D)), arrays_zip(bins, z))) AS (pos, c)",
     ).selectExpr(*NODE, "label", "w", "yc", "g", "pos - 1 AS pos", "c.bins AS bin", "c.z AS z")
     return long.groupBy(*STAT).agg(
-        F.sum("w").alias("n"), F.expr("sum(w * yc)").alias("sy"), F.expr("sum(w * yc * yc)").alias("syy"), F.expr("sum(w * g * z)").alias("sg")
+        F.sum("w").alias("n"), F.expr("sum(w * yc)").alias("sy"), F.expr("sum(w * yc * yc)").alias("syy"), F.expr("sum(w * g * z)").alias("sg"),
+        F.count(F.lit(1)).alias("rows"),
     )
 
 
@@ -143,11 +183,12 @@ def candidate_merits(stats: DataFrame) -> DataFrame:
     )
 
 
-def best_features(merits: DataFrame, merit: str) -> DataFrame:
-    """Best edge per feature; ties go to the lower bin."""
+def best_features(merits: DataFrame, merit: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Best edge per feature; ties go to the lower bin. ``keep`` names columns that a node has once."""
     best = F.expr(f"max(struct({merit} AS merit, -bin AS low, bin, left_sd, right_sd))")
-    return merits.groupBy(*NODE, "pos").agg(best.alias("b"), F.first("n").alias("n")).selectExpr(
-        *NODE, "pos", "n", "b.merit", "b.bin", "b.left_sd", "b.right_sd"
+    once = [F.first(c).alias(c) for c in ("n", *keep)]
+    return merits.groupBy(*NODE, "pos").agg(best.alias("b"), *once).selectExpr(
+        *NODE, "pos", "n", *keep, "b.merit", "b.bin", "b.left_sd", "b.right_sd"
     )
 
 
@@ -164,20 +205,23 @@ def decide(stats: DataFrame, nodes: DataFrame, params: DataFrame) -> DataFrame:
     is evaluated once it grew by the grace period; the split test is the
     Hoeffding bound on the gain difference, or on the deviation-reduction ratio.
     ``params`` is one row per model, marked for broadcast by the caller if small.
+    All steps work on the statistics of one node, bounded by features, bins and labels, so
+    these are dealt by node once.
     """
+    stats, nodes = stats.repartition(*NODE), nodes.repartition(*NODE)
     own = stats.where(f"pos = {OWN}").groupBy(*NODE).agg(F.sum("n").alias("seen"), F.count_distinct("label").alias("classes"))
     due = (
         own.join(nodes.select(*NODE, "last_n"), NODE).join(params, "model_id")
         .where("seen - last_n >= grace AND (regression OR classes >= 2)")
     )
-    width = stats.where("pos >= 0").groupBy("model_id").agg((F.max("pos") + 1).alias("width"))
-    subset = params.join(width, "model_id").selectExpr(
-        "model_id", "regression",
+    wide = stats.where("pos >= 0").groupBy(*NODE).agg((F.max("pos") + 1).alias("width"))
+    subset = due.join(wide, NODE).selectExpr(
+        *NODE, "regression",
         "CASE WHEN algorithm_id NOT IN (4, 10) THEN 0 WHEN m_features > 0 THEN m_features ELSE int(floor(sqrt(width))) + 1 END AS m",
     )
-    merits = candidate_merits(stats.join(due.select(*NODE), NODE, "left_semi"))
-    best = best_features(merits.join(params.select("model_id", "regression"), "model_id"), "CASE WHEN regression THEN sdr ELSE gain END")
-    top = subspace(best.join(subset, "model_id")).groupBy(*NODE).agg(
+    merits = candidate_merits(stats.join(due.select(*NODE), NODE, "left_semi")).join(subset, NODE)
+    best = best_features(merits, "CASE WHEN regression THEN sdr ELSE gain END", ("m",))
+    top = subspace(best).groupBy(*NODE).agg(
         F.expr("slice(reverse(array_sort(collect_list(struct(merit, -pos AS low, pos, bin, left_sd, right_sd)))), 1, 2)").alias("t")
     )
     span = "CASE WHEN regression THEN 1D ELSE log2(double(greatest(classes, 2))) END"
@@ -195,11 +239,11 @@ def decide(stats: DataFrame, nodes: DataFrame, params: DataFrame) -> DataFrame:
     )
 
 
-def side_counts(stats: DataFrame, winners: DataFrame) -> DataFrame:
+def side_counts(stats: DataFrame, winners: DataFrame, sums: Sequence[str] = SUMS) -> DataFrame:
     """Label sums of both sides of the taken splits (``side`` 0 left, 1 right)."""
     chosen = winners.select(*NODE, "pos", F.col("bin").alias("_cut"))
     return (
         stats.join(chosen, [*NODE, "pos"])
         .groupBy(*NODE, F.when(F.col("bin") <= F.col("_cut"), F.lit(0)).otherwise(F.lit(1)).alias("side"), "label")
-        .agg(*[F.sum(c).alias(c) for c in SUMS])
+        .agg(*[F.sum(c).alias(c) for c in sums])
     )

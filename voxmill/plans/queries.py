@@ -634,6 +634,16 @@ def learn_hoeffding(spark, folder):
     return _learner_run(spark, folder, 1, "HoeffdingTree", "status", C, {})
 
 
+@query
+def learn_tree_levels(spark, folder):
+    """Hoeffding tree grown level by level in one chunk: the leaf and the answer of every order."""
+    records = tables.order_records(spark, folder)
+    active = inputs.active_for(records, [(1, "HoeffdingTree", "status", C, {"tieThreshold": 0.1})], per_stream=False)
+    fitted = batch.fit(active, records)
+    instances = features.encode(routing.route_to_models(records, active), fitted.schemas)
+    return trees.leaves(fitted.states["trees"], instances).select("recordID", F.col("node_id").cast("long").alias("leaf"), F.col("vote").alias("prediction"))
+
+
 @query
 def learn_forest(spark, folder):
     """Adaptive random forest of five trees."""
