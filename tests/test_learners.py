@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxmill.learners import bayes, drift, neighbours, split_stats as ss, trees
+from voxmill.learners import bayes, drift, linear, neighbours, split_stats as ss, trees
 from voxmill.learners.base import with_chunks
 from voxmill.operators import control
 from voxmill.plans import batch, inputs
@@ -143,6 +143,59 @@ def test_forest_and_subtree_reactions(spark, make_records):
     assert all(r["acc"] > 0.6 for r in acc), acc
 
 
+def _plain_rounds(x, y, eta, lam, size):
+    """Squared loss, slice by slice in rounds of 1, 2, 4, ... slices, by plain loops."""
+    w, b, at, width = np.zeros(x.shape[1]), 0.0, 0, 1
+    while at < len(x):
+        made = []
+        for lo in range(at, min(len(x), at + width * size), size):
+            v, c = w.copy(), b
+            for i in range(lo, min(len(x), lo + size)):
+                g = y[i] - (c + v @ x[i])
+                v, c = (1 - eta * lam) * v + eta * g * x[i], c + eta * g
+            made.append((min(size, len(x) - lo), v, c))
+        n = sum(m[0] for m in made)
+        w, b = sum(m[0] * m[1] for m in made) / n, sum(m[0] * m[2] for m in made) / n
+        at, width = at + width * size, 2 * width
+    return w, b
+
+
+def _line(n):
+    rnd = random.Random(8)
+    rows = []
+    for i in range(n):
+        a, b = rnd.random(), rnd.random()
+        rows.append(("s", "d", str(i), {"a": a, "b": b, "y": 3 * a - 2 * b + 1}))
+    return rows
+
+
+def test_linear_steps_follow_the_rows(spark, make_records, monkeypatch):
+    monkeypatch.setattr(linear, "SLICE", 20)
+    losses = []
+    for n in (60, 600):
+        rows = _line(n)
+        records = cut(make_records(rows))
+        active = inputs.active_for(records, [(7, "SGD", "y", R, {"lossFunctionOption": 2, "learningRate": 0.05, "lambdaRegularization": 0.01})], per_stream=False)
+        instances = inputs.instances_for(records, active)
+        got = [linear.Linear().update(None, instances, active, chunks)["weights"].first() for chunks in (1, 3)]
+        x = np.array([[f["a"], f["b"]] for *_, f in rows])
+        y = np.array([f["y"] for *_, f in rows])
+        w, b = _plain_rounds(x, y, 0.05, 0.01, 20)
+        for g in got:
+            assert np.allclose(g["w"], w, atol=1e-12) and math.isclose(g["b"], b, abs_tol=1e-12)
+        losses.append(float(np.mean((x @ w + b - y) ** 2)))
+    assert losses[1] < 0.6 * losses[0]
+
+
+def test_linear_rows_without_truth_change_nothing(spark):
+    rows = [("m", i, [0.1 * i, None if i % 3 else 1.0], None if i % 4 == 0 else ("a" if i % 2 else "b"), None) for i in range(30)]
+    df = spark.createDataFrame(rows, "model_id string, seq long, x array<double>, label string, y double")
+    models = spark.createDataFrame([("m", "SGD", "classification", {"lossFunctionOption": "1", "learningRate": "0.1"})], "model_id string, algorithm_type string, task_type string, hyper_params map<string,string>")
+    whole = linear.Linear().update(None, df, models)["weights"].first()
+    known = linear.Linear().update(None, df.where("label IS NOT NULL"), models)["weights"].first()
+    assert np.allclose(whole["w"], known["w"]) and np.isfinite(whole["w"]).all()
+
+
 def _wave(n, spread=1.0):
     rnd = random.Random(21)
     out = []

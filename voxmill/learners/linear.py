@@ -1,4 +1,11 @@
-"""Perceptron and SGD: one gradient aggregate per chunk for all models."""
+"""Perceptron and SGD: a step per row, in parallel slices whose weights are averaged.
+
+The rows of a model, in order, are cut into slices of ``SLICE`` rows. A slice is folded row by
+row from the weights it is given, and the weights of all slices of a round are averaged by
+their rows. The first round is the first slice, and each later round has twice as many, so
+the early steps, which move most, follow each other, later ones run side by side, and n rows take
+log2(n / SLICE) rounds. Every row steps once, however the rows are chunked.
+"""
 
 from __future__ import annotations
 
@@ -6,11 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import coercion
+from ..functions.scans import rank_in_order
 from ..operators.features import label_domain
 from ..session import broadcast_within, cut, stage
-from .base import PREDICTION, State, argmax_label, with_chunks
+from .base import PREDICTION, State, argmax_label
 
 ONLY = ""  # name of the single output of a two-class or numeric model
+SLICE = 256  # rows of one fold
 
 
 def settings(models: DataFrame) -> DataFrame:
@@ -66,44 +75,52 @@ def outputs_of(instances: DataFrame, models: DataFrame, domain: DataFrame) -> Da
     return per_class.unionByName(single)
 
 
-def step(rows: DataFrame, weights: DataFrame, domain: DataFrame) -> DataFrame:
-    """Weights after one averaged gradient step over ``rows``."""
-    outs = weights.groupBy("model_id").agg(F.collect_list(F.struct("label", "loss", "w", "b")).alias("outs"))
+def sliced(instances: DataFrame) -> DataFrame:
+    """Staged slices (model_id, slice, rows) by ``round``; a slice has at most ``SLICE`` rows, in order."""
+    ranked = rank_in_order(instances.select("model_id", "seq", "x", "label", "y"), ["model_id"], "seq", "_n")
+    numbered = ranked.withColumn("slice", F.expr(f"(_n - 1) DIV {SLICE}"))
+    slices = numbered.groupBy("model_id", "slice").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "label", "y"))).alias("rows"))
+    return stage(slices.withColumn("round", F.expr("length(bin(slice + 1)) - 1")), "round")
+
+
+#: Gradient factor of a row for the score ``s``; null where the row has no truth.
+FACTOR = """CASE o.loss
+ WHEN 'sigmoid' THEN (double(r.label = o.label) - 1D / (1D + exp(-s))) * (1D / (1D + exp(-s))) * (1D - 1D / (1D + exp(-s)))
+ WHEN 'hinge' THEN CASE WHEN sign * s < 1D THEN sign ELSE 0D END
+ WHEN 'logistic' THEN sign / (1D + exp(sign * s))
+ ELSE r.y - s END"""
+
+
+def _folded() -> str:
+    """Weights of one output after all rows of a slice, as SQL over ``rows``, ``o`` and ``index``."""
+    dot = "a.b + aggregate(zip_with(a.w, r.x, (p, q) -> coalesce(p * q, 0D)), 0D, (t, v) -> t + v)"
+    sign = "CASE try_element_at(index, r.label) WHEN 0 THEN -1D ELSE CASE WHEN r.label IS NOT NULL THEN 1D END END"
+    moved = (
+        "named_struct('w', zip_with(a.w, r.x, (p, q) -> (1D - o.eta * o.lam) * p + o.eta * coalesce(g * q, 0D)), 'b', a.b + o.eta * g)"
+    )
+    named = lambda value, name, body: f"get(transform(array({value}), {name} -> {body}), 0)"
+    step = named(dot, "s", named(sign, "sign", named(FACTOR, "g", f"CASE WHEN g IS NULL THEN a ELSE {moved} END")))
+    return f"aggregate(rows, named_struct('w', o.w, 'b', o.b), (a, r) -> {step})"
+
+
+def step(slices: DataFrame, weights: DataFrame, domain: DataFrame) -> DataFrame:
+    """Weights after one round: each slice folded from ``weights``, averaged by rows. Outputs without rows keep theirs."""
+    outs = weights.groupBy("model_id").agg(F.collect_list(F.struct("label", "loss", "eta", "lam", "w", "b")).alias("outs"))
     outs = outs.join(
         domain.groupBy("model_id").agg(F.map_from_entries(F.collect_list(F.struct("label", "idx"))).alias("index")), "model_id", "left"
     )
-    cells = F.aggregate("outs", F.lit(4), lambda s, o: s + F.size(o["w"]) + 3)
-    o = F.col("o")
-    scored = (
-        rows.join(broadcast_within(outs, cells), "model_id")
-        .withColumn("sign", F.when(F.try_element_at("index", F.col("label")) == 0, F.lit(-1.0)).otherwise(F.lit(1.0)))
-        .select("model_id", F.col("label").alias("truth"), "y", "x", "sign", F.explode("outs").alias("o"))
-        .withColumn("s", o["b"] + _dot(F.col("x"), o["w"]))
-    )
-    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("s")))
-    hit = F.when(F.col("truth") == o["label"], F.lit(1.0)).otherwise(F.lit(0.0))
-    g = (
-        F.when(o["loss"] == "sigmoid", (hit - p) * p * (F.lit(1.0) - p))
-        .when(o["loss"] == "hinge", F.when(F.col("sign") * F.col("s") < 1.0, F.col("sign")).otherwise(F.lit(0.0)))
-        .when(o["loss"] == "logistic", F.col("sign") / (F.lit(1.0) + F.exp(F.col("sign") * F.col("s"))))
-        .otherwise(F.col("y") - F.col("s"))
+    cells = F.aggregate("outs", F.lit(4), lambda s, o: s + F.size(o["w"]) + 5)
+    folded = (
+        slices.join(broadcast_within(outs, cells), "model_id").select("model_id", "rows", "index", F.explode("outs").alias("o"))
+        .selectExpr("model_id", "o.label AS label", "size(rows) AS n", f"{_folded()} AS made")
+        .selectExpr("model_id", "label", "n", "posexplode(concat(array(made.b), made.w)) AS (pos, v)")
     )
-    padded = F.concat(F.array(F.lit(1.0)), F.col("x"))
-    steps = scored.withColumn("g", g).where("g IS NOT NULL").select("model_id", o["label"].alias("label"), "g", F.posexplode(padded).alias("pos", "v"))
-    sums = steps.groupBy("model_id", "label", "pos").agg(F.sum(F.col("g") * F.coalesce("v", F.lit(0.0))).alias("t"), F.count(F.lit(1)).alias("n"))
-    grads = sums.groupBy("model_id", "label").agg(
-        F.array_sort(F.collect_list(F.struct("pos", (F.col("t") / F.col("n")).alias("d")))).alias("ds")
+    means = folded.groupBy("model_id", "label", "pos").agg((F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("v"))
+    moved = means.groupBy("model_id", "label").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("m")).selectExpr(
+        "model_id", "label", "get(m.v, 0) AS _b", "slice(m.v, 2, size(m)) AS _w"
     )
-    shrink = F.lit(1.0) - F.col("eta") * F.col("lam")
-    moved = F.zip_with(
-        "w", F.expr("slice(ds, 2, greatest(size(ds) - 1, 0))"),
-        lambda w, d: shrink * F.coalesce(w, F.lit(0.0)) + F.col("eta") * F.coalesce(d["d"], F.lit(0.0)),
-    )
-    joined = weights.join(grads, ["model_id", "label"], "left")
-    return joined.select(
-        "model_id", "label", "idx", "loss", "eta", "lam",
-        F.when(F.col("ds").isNull(), F.col("w")).otherwise(moved).alias("w"),
-        F.when(F.col("ds").isNull(), F.col("b")).otherwise(F.col("b") + F.col("eta") * F.get("ds", 0)["d"]).alias("b"),
+    return weights.join(moved, ["model_id", "label"], "left").select(
+        "model_id", "label", "idx", "loss", "eta", "lam", F.coalesce("_w", "w").alias("w"), F.coalesce("_b", "b").alias("b")
     )
 
 
@@ -112,16 +129,12 @@ class Linear:
     tables = ("weights", "domain")
 
     def update(self, state: State | None, instances: DataFrame, models: DataFrame, chunks: int = 1) -> State:
-        if chunks > 1:
-            instances = stage(with_chunks(instances, chunks), "chunk")
-        else:
-            instances = instances.withColumn("chunk", F.lit(0))
         domain = cut(label_domain(instances, state["domain"] if state else None))
         weights = cut(initial_weights(outputs_of(instances, models, domain), state["weights"] if state else None))
-        for chunk in range(chunks):
-            weights = step(instances.where(F.col("chunk") == chunk), weights, domain)
-            if chunk + 1 < chunks:
-                weights = cut(weights)
+        slices = sliced(instances)
+        last = slices.agg(F.max("round")).first()[0]
+        for at in range(0 if last is None else last + 1):
+            weights = cut(step(slices.where(F.col("round") == at), weights, domain))
         return {"weights": weights, "domain": domain}
 
     def predict(self, state: State, instances: DataFrame, models: DataFrame) -> DataFrame:

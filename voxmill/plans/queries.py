@@ -267,25 +267,25 @@ def _weights(spark, folder, algorithm, name, target, task, params, chunks):
 
 @query
 def perceptron_step(spark, folder):
-    """Perceptron weights after two chunks over all orders."""
+    """Perceptron weights after all orders; the chunks change nothing."""
     return _weights(spark, folder, 5, "Perceptron", "side", C, {"learningRatio": 1.0}, 2)
 
 
 @query
 def sgd_squared_epoch(spark, folder):
-    """Squared-loss weights after three chunks."""
+    """Squared-loss weights after all orders."""
     return _weights(spark, folder, 7, "SGD", "amount", R, {"lossFunctionOption": 2, "learningRate": 0.1, "lambdaRegularization": 0.01}, 3)
 
 
 @query
 def sgd_logistic(spark, folder):
-    """Logistic weights after two chunks."""
+    """Logistic weights after all orders."""
     return _weights(spark, folder, 7, "SGD", "side", C, {"lossFunctionOption": 1, "learningRate": 0.1, "lambdaRegularization": 0.01}, 2)
 
 
 @query
 def sgd_hinge(spark, folder):
-    """Hinge weights after two chunks."""
+    """Hinge weights after all orders."""
     return _weights(spark, folder, 7, "SGD", "side", C, {"lossFunctionOption": 0, "learningRate": 0.1, "lambdaRegularization": 0.01}, 2)
 
 
@@ -408,6 +408,28 @@ def page_hinkley(spark, folder):
     return drift.page_hinkley_alarms(s, ["event_type"], threshold=5.0).select("event_type", "first_alarm", _r("max_drift").alias("max_drift"))
 
 
+def _shifting(spark, folder):
+    """Event numbers whose level rises and falls every 2,500 events."""
+    s = inputs.series(spark, folder)
+    return s.withColumn("x", F.col("x") + F.when((F.col("seq") % 5000) >= 2500, F.lit(0.4)).otherwise(F.lit(0.0)))
+
+
+@query
+def page_hinkley_restarts(spark, folder):
+    """Every alarm per event type; the detector starts anew after each."""
+    found = drift.page_hinkley_restarts(_shifting(spark, folder), ["event_type"], threshold=5.0)
+    return found.select("event_type", "alarm", "at", _r("drift").alias("drift"))
+
+
+@query
+def adwin_window(spark, folder):
+    """Adaptive window per event type: what was dropped and kept at every cut, then the buckets in the end."""
+    state, cuts = drift.adwin_windows(drift.ticks(_shifting(spark, folder), ["event_type"]), ["event_type"])
+    kept = cuts.select("event_type", F.lit("cut").alias("kind"), "at", F.lit(None).cast("long").alias("level"), F.col("kept").alias("n"), "dropped", _r("mean").alias("mean"))
+    last = state.select("event_type", F.lit("bucket").alias("kind"), "at", F.col("level").cast("long").alias("level"), "n", F.lit(None).cast("double").alias("dropped"), _r(F.col("sx") / F.col("n")).alias("mean"))
+    return kept.unionByName(last)
+
+
 @query
 def adwin_cut(spark, folder):
     """Cuts of the daily buckets of each event type's values."""
