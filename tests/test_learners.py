@@ -120,6 +120,74 @@ def test_page_hinkley_and_adwin_fire_on_a_jump(spark):
     assert cuts["steady"][0] is None and cuts["jump"][0] is not None and cuts["jump"][1]
 
 
+def _plain_window(rows, delta):
+    """Adaptive window by its definition: add a tick, merge overflowing levels, drop while two means differ."""
+    b, cuts = [], []
+    for at, x in rows:
+        b.append([0, float(len(x)), sum(x), sum(v * v for v in x), at])
+        for k in range(20):
+            held = [i for i, e in enumerate(b) if e[0] == k]
+            if len(held) > drift.CAPACITY:
+                i = held[0]
+                p, q = b[i], b[i + 1]
+                b[i : i + 2] = [[k + 1, p[1] + q[1], p[2] + q[2], p[3] + q[3], q[4]]]
+        had = sum(e[1] for e in b)
+        while len(b) > 1:
+            n, s, q = (sum(e[j] for e in b) for j in (1, 2, 3))
+            var, spread, hit, n0, s0 = max(q / n - (s / n) ** 2, 0), math.log(2 * max(math.log(n), 1) / delta), False, 0, 0
+            for e in b[:-1]:
+                n0, s0 = n0 + e[1], s0 + e[2]
+                inv = 1 / n0 + 1 / (n - n0)
+                hit = hit or abs(s0 / n0 - (s - s0) / (n - n0)) > math.sqrt(2 * inv * var * spread) + 2 / 3 * inv * spread
+            if not hit:
+                break
+            b.pop(0)
+        now = sum(e[1] for e in b)
+        if now < had:
+            cuts.append((at, had - now, now))
+    return b, cuts
+
+
+def test_windows_by_their_definition_and_in_two_updates(spark):
+    rnd = random.Random(3)
+    series = {"flat": [rnd.random() for _ in range(3000)], "jumps": [rnd.random() * 0.3 + 0.5 * (i // 700 % 2) for i in range(3000)]}
+    rows = [(k, i, v) for k, vs in series.items() for i, v in enumerate(vs)]
+    df = cut(spark.createDataFrame(rows, "k string, seq long, x double"))
+    state, cuts = drift.adwin_windows(drift.ticks(df, ["k"]), ["k"])
+    half, early = drift.adwin_windows(drift.ticks(df.where("seq < 1600"), ["k"]), ["k"])
+    again, late = drift.adwin_windows(drift.ticks(df.where("seq >= 1600"), ["k"]), ["k"], state=half)
+    for k, vs in series.items():
+        want, dropped = _plain_window([(min(i + 31, 2999), vs[i : i + 32]) for i in range(0, 3000, 32)], drift.DELTA)
+        for s, c in ((state, cuts.collect()), (again, early.collect() + late.collect())):
+            got = sorted((r["at"], r["level"], r["n"], r["sx"]) for r in s.where(F.col("k") == k).collect())
+            assert [g[:3] for g in got] == [(e[4], e[0], e[1]) for e in want] and np.allclose([g[3] for g in got], [e[2] for e in want])
+            assert sorted((r["at"], r["dropped"], r["kept"]) for r in c if r["k"] == k) == dropped
+        assert len(want) <= drift.CAPACITY * 10 and bool(dropped) == (k == "jumps")
+    # a compacted table holds every row, in few buckets
+    fine = df.selectExpr("k", "0 AS level", "seq AS at", "1D AS n", "x AS sx", "x * x AS sxx")
+    small = {r["k"]: r for r in drift.compact(fine, ["k"]).groupBy("k").agg(F.count("*").alias("c"), F.sum("n").alias("n"), F.sum("sx").alias("s")).collect()}
+    assert all(r["n"] == 3000 and r["c"] <= 5 * 12 and math.isclose(r["s"], sum(series[k])) for k, r in small.items())
+
+
+def test_page_hinkley_restarts_for_any_width(spark):
+    rnd = random.Random(2)
+    rows = [("a", 3 * i, rnd.random() + 0.6 * (i // 300 % 2)) for i in range(2000)] + [("calm", i, 0.5) for i in range(500)] + [("a", 7, None)]
+    df = cut(spark.createDataFrame(rows, "k string, seq long, x double"))
+    want, n, total, m, low = [], 0, 0.0, 0.0, None
+    for _, at, x in sorted(r for r in rows if r[0] == "a" and r[2] is not None):
+        n, total = n + 1, total + x
+        m += x - total / n - drift.ALPHA
+        low = m if low is None else min(low, m)
+        if m - low > 2.0:
+            want.append(at)
+            n, total, m, low = 0, 0.0, 0.0, None
+    assert len(want) > 3
+    for width in (3000, 1 << 16):
+        got = drift.page_hinkley_restarts(df, ["k"], threshold=2.0, width=width).collect()
+        assert [r["at"] for r in sorted(got, key=lambda r: r["alarm"])] == want and {r["k"] for r in got} == {"a"}
+    assert drift.page_hinkley_restarts(df.where("k = 'calm'"), ["k"]).count() == 0
+
+
 def test_forest_and_subtree_reactions(spark, make_records):
     """A flipped concept makes the forest swap trees and HAT grow an alternate."""
     rnd = random.Random(11)

@@ -140,7 +140,7 @@ def page_hinkley_restarts(series: DataFrame, keys: Sequence[str], order: str = "
         found = made if found is None else found.unionByName(made)
         carry = cut(folded.select(*keys, F.col("f.t").alias("state"), "_done"))
         # Keys without an alarm are through; the others go on behind the folded slice.
-        rest = rest.join(broadcast_within(carry.select(*keys, "_done")), keys).where(F.col("_k") > F.col("_done")).drop("_done")
+        rest = cut(rest.join(broadcast_within(carry.select(*keys, "_done")), keys).where(F.col("_k") > F.col("_done")).drop("_done"))
         carry = carry.select(*keys, "state")
     if found is None:
         return rest.limit(0).select(*keys, F.lit(0).cast("long").alias("alarm"), "at", F.lit(0.0).alias("drift"))
