@@ -251,3 +251,28 @@ def test_decoding_is_consistent_and_best():
 
         best = max((tuple(bool(b >> k & 1) for k in range(len(nodes))) for b in range(1 << len(nodes)) if fits([b >> k & 1 for k in range(len(nodes))])), key=value)
         assert abs(value(best) - value(kept)) < 1e-9 and fits(list(kept))
+
+
+def _text(page):
+    return " ".join(html_text.clean_text(html_text._inline(x)) for x in html_text.elements(html_text.parse(page)) if x.parts).split()
+
+
+def test_pages_lose_nothing_behind_odd_tags():
+    body = "<p>one <math><mi>x</mi><mo>+</mo></math> two</p><p>three</p>"
+    for odd in ('<svg class="i"/>', "<svg class='i' />", "<iframe src=x />", "<p title=it's>", '<p title=5">', "<svg>", "<iframe>", '<a "x>', "<!-- a > b -->"):
+        got = _text(f"<body><article>{odd}{body}</article></body>")
+        assert got[:2] == ["one", "x+"] and got[-1] == "three", (odd, got)
+    assert _text("<p>a</p><!-- never closed <p>b</p>") == ["a"] and set(_text("<p>a</p> b <!-- never")) == {"a", "b"}
+    assert _text("<p>a</p><svg><path d='1'/>hid</svg><p>b</p>") == ["a", "b"]
+    assert _text("<p>a<script>if (x<b && '</p>') {}</script>b</p>") == ["ab"]
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    deep = html_text.parse("<p>" + "<b>" * 20_000 + "x")
+    assert "".join(html_text._inline(deep.children()[0])) == "x"
+    for page in ('<a "' * 250_000, '<a ="' * 200_000, "<a ='\"" * 150_000 + ">", "<svg>" * 200_000, "<title>" * 100_000, "<" * 1_000_000, "<a " * 300_000, "<!" * 400_000, "<a b=" * 200_000 + ">x"):
+        start = time.time()
+        html_text.parse(page)
+        assert time.time() - start < 10, page[:12]

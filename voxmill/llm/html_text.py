@@ -30,8 +30,10 @@ from voxmill.llm.common import sampled
 
 # Fixed values of HTML: elements without content, of raw text, inline ones, and what an opening tag closes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg math xmp noframes".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+RAW = frozenset("script style noscript template textarea iframe svg xmp noframes".split())
+#: Of these, elements that may be closed in their own tag, and that hide nothing behind them if they are never closed.
+SELF_CLOSED = frozenset("svg iframe".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mfenced mstyle mpadded semantics".split())
 BLOCK = frozenset("address article aside blockquote center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section table ul tr td th tbody thead tfoot caption summary".split())
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -42,7 +44,11 @@ HIDDEN = frozenset("head title".split())
 #: What may open inside the head; anything else, or text, ends it.
 HEAD = frozenset("title meta link base style script noscript template".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A quote delimits a value only after "="; elsewhere it is a character of its attribute. No part is tried twice.
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+)|[\"'])*+)>", re.S,
+)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.\-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?", re.S)
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -92,9 +98,15 @@ def parse(page: str | None) -> Node:
     """Element tree of a page. Text stays as written; unclosed and stray tags never fail."""
     root = Node("#root")
     at, end, page = root, 0, page or ""
-    for m in TOKEN.finditer(page):
-        if m.start() < end:
-            continue
+    last, never = page.rfind(">") + 1, set()  # nothing behind the last ">" is a tag; tags that are not closed any more
+
+    def closing(tag: str) -> int | None:
+        found = None if tag in never else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, end)
+        if found is None:
+            never.add(tag)
+        return found and found.end()
+
+    while (m := TOKEN.search(page, end, last)) is not None:
         if m.start() > end:
             text = page[end : m.start()]
             if at.tag == "head" and text.strip():
@@ -103,6 +115,8 @@ def parse(page: str | None) -> Node:
         end = m.end()
         tag = m.group(2)
         if tag is None:
+            if (m.group().startswith("<!--") and not m.group().endswith("-->")) or (m.group().startswith("<![CDATA[") and not m.group().endswith("]]>")):
+                end = len(page)
             continue
         tag = tag.lower()
         if m.group(1):
@@ -141,21 +155,21 @@ def parse(page: str | None) -> Node:
         node = Node(tag, words, at, [], hidden)
         at.parts.append(node)
         if tag == "title":  # its content is text, tags or not; one that is never closed ends with the head
-            close = re.compile(r"</title\s*>", re.I).search(page, end)
-            end = close.end() if close else end
+            close = closing(tag)
+            end = close or end
             at = at if close else node
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, end)
-            end = close.end() if close else len(page)
             node.hidden = True
+            if not (tag in SELF_CLOSED and m.group(3).rstrip().endswith("/")):
+                end = closing(tag) or (end if tag in SELF_CLOSED else len(page))
             continue
         if not m.group(3).endswith("/") or tag in BLOCK or tag in INLINE:
             at = node
     if end < len(page):
         if at.tag == "head":
             at = at.parent
-        at.parts.append(page[end:])
+        at.parts.append(re.split(r"<[!?]", page[end:], maxsplit=1)[0])
     return root
 
 
@@ -332,11 +346,13 @@ def _plain_blocks(root: Node) -> tuple[list[str], list[str]]:
 
 def _inline(node: Node) -> list[str]:
     out: list[str] = []
-    for x in node.parts:
+    waiting: list[Node | str] = list(reversed(node.parts))
+    while waiting:
+        x = waiting.pop()
         if isinstance(x, str):
             out.append(x)
         elif x.tag in INLINE:
-            out += _inline(x)
+            waiting += reversed(x.parts)
     return out
 
 
