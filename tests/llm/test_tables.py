@@ -234,3 +234,13 @@ def test_url_rules(spark):
     assert all(r["confidence"] >= 0.6 and r["key_token"] in r["antecedent"] for r in rules)
     assert url_rules.judge(pages, labelled.limit(0)).count() == len(urls) + 2
     assert url_rules.judge(pages.limit(0), labelled).count() == 0
+
+
+def test_mixing_applies_to_any_column_names(spark):
+    rows = [(k, "a b c " * (k % 4), "s%d" % (k % 3), k) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n long")
+    odd = docs.select("doc_id", "text", "source", *[F.col("n").alias(c) for c in ("_d", "_S", "_z", "_r", "_rank", "_copies", "_size")])
+    plain, got = mixing.apply(docs), mixing.apply(odd)
+    assert got.columns == odd.columns
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(r["doc_id"] for r in plain.collect())
+    assert all(r["_d"] == r["doc_id"] == r["_size"] for r in got.collect())

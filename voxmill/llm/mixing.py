@@ -141,10 +141,11 @@ def apply(docs: DataFrame, **options: float) -> DataFrame:
     several different texts under one id gets it follows their hash.
     """
     rank, copies, size = fresh(docs, "_rank"), fresh(docs, "_copies"), fresh(docs, "_size")
-    plan = mix(docs, **options).where("copies > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("copies").alias(copies))
-    plan = plan.withColumn("_r", F.row_number().over(W.partitionBy("_d", "_s", "_z").orderBy(F.desc(copies))))
+    d, s, z, r = (fresh(docs, name) for name in ("_d", "_s", "_z", "_r"))
+    plan = mix(docs, **options).where("copies > 0").select(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("size").alias(z), F.col("copies").alias(copies))
+    plan = plan.withColumn(r, F.row_number().over(W.partitionBy(d, s, z).orderBy(F.desc(copies))))
     rows = docs.withColumn(size, word_count(F.col("text").cast("string")))
     rows = rows.withColumn(rank, F.row_number().over(W.partitionBy("doc_id", "source", size).orderBy(F.xxhash64("text"))))
-    same = rows["doc_id"].cast("long").eqNullSafe(F.col("_d")) & rows["source"].cast("string").eqNullSafe(F.col("_s")) & (rows[size] == F.col("_z")) & (rows[rank] == F.col("_r"))
+    same = rows["doc_id"].cast("long").eqNullSafe(F.col(d)) & rows["source"].cast("string").eqNullSafe(F.col(s)) & (rows[size] == F.col(z)) & (rows[rank] == F.col(r))
     held = rows.join(plan, same)
     return held.select(*[rows[c] for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))).alias(copies)).drop(copies)
