@@ -668,8 +668,8 @@ def learn_tree_levels(spark, folder):
 
 @query
 def learn_forest(spark, folder):
-    """Adaptive random forest of five trees."""
-    return _learner_run(spark, folder, 4, "Random-Forest", "status", C, {"ensembleSize": 5})
+    """Adaptive random forest of five trees, grown level by level in one chunk."""
+    return _learner_run(spark, folder, 4, "Random-Forest", "status", C, {"ensembleSize": 5}, chunks=1)
 
 
 @query
@@ -680,8 +680,8 @@ def learn_adaptive_tree(spark, folder):
 
 @query
 def learn_model_tree(spark, folder):
-    """FIMT-DD model tree."""
-    return _learner_run(spark, folder, 8, "FIMT-DD", "price", R, {})
+    """FIMT-DD model tree, grown level by level in one chunk; leaves are judged every 2,000 rows."""
+    return _learner_run(spark, folder, 8, "FIMT-DD", "price", R, {"gracePeriod": 2000}, chunks=1)
 
 
 @query
@@ -692,5 +692,5 @@ def learn_rules(spark, folder):
 
 @query
 def learn_forest_regressor(spark, folder):
-    """Forest of five regression trees."""
-    return _learner_run(spark, folder, 10, "Random-Forest-Regressor", "price", R, {"ensembleSize": 5})
+    """Forest of five regression trees, grown level by level in one chunk; leaves are judged every 12,000 weighted rows."""
+    return _learner_run(spark, folder, 10, "Random-Forest-Regressor", "price", R, {"ensembleSize": 5, "gracePeriod": 12000}, chunks=1)
