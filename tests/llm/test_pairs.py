@@ -78,6 +78,8 @@ def test_links_connect_what_all_pairs_connect(spark, segments):
     want = slow_components(signed, fps)
     got = {r["node"]: r["label"] for r in components(simhash.near_links(entries, 4, segments)).collect()}
     assert [got.get(s, s) for s in signed] == want
+    classes = {r["fp"]: r["label"] for r in simhash.near_classes(entries, 4, segments).collect()}
+    assert [classes[s] for s in signed] == want
 
 
 def test_components_of_documents(spark):
@@ -159,3 +161,22 @@ def test_components_on_chains_and_hubs(spark):
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert {got[k] for k in range(41)} == {0} and {got[k] for k in range(100, 160)} == {100} and got[201] == 200
     assert np.all([got[k] <= k for k in got])
+
+
+@pytest.mark.parametrize("task_links", [5, 40, 1 << 19])
+def test_components_in_any_number_of_tasks(spark, task_links):
+    rng = random.Random(task_links)
+    links = [(k, k + 1) for k in range(60)] + [(500, k) for k in range(400, 460)] + [(rng.randrange(600, 900), rng.randrange(600, 900)) for _ in range(200)]
+    links += [(-5, -9), (-9, 1000), (None, 4), (3, None), (8, 8)] + links[:20]
+    label = {k: k for pair in links if None not in pair and pair[0] != pair[1] for k in pair}
+    while True:
+        moved = {**label}
+        for a, b in links:
+            if a in label and b in label:
+                moved[a] = moved[b] = min(moved[a], moved[b])
+        if moved == label:
+            break
+        label = moved
+    frame = spark.createDataFrame(links, "a long, b long").repartition(7)
+    assert {r["node"]: r["label"] for r in components(frame, task_links=task_links).collect()} == label
+    assert components(frame.limit(0)).count() == 0

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,30 +89,64 @@ def small(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Rec
             yield batch.slice(at, rows)
 
 
-def components(links: DataFrame, left: str = "a", right: str = "b", most_rounds: int = 60) -> DataFrame:
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node that its links reach) of all nodes but the smallest of each class."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = place[: len(a)], place[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        la, lb = label[a], label[b]
+        apart = la != lb
+        if not apart.any():
+            break
+        a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
+        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
+        while not np.array_equal(label, up := label[label]):
+            label = up
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[moved], nodes[label[moved]]
+
+
+def _forests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of a task as stars of what they connect."""
+    held = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches if x.num_rows]
+    if held:
+        u, v = forest(np.concatenate([a for a, _ in held]), np.concatenate([b for _, b in held]))
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+
+def components(links: DataFrame, left: str = "a", right: str = "b", most_rounds: int = 60, task_links: int = 1 << 19) -> DataFrame:
     """Connected components of undirected links as rows (node, label), label the smallest node.
 
-    Alternates two contractions: every node's larger neighbours, then its smaller
-    ones, are linked to the smallest node it knows. Both are an aggregate and a
-    join, so a hub is combined before the shuffle and never gathered. Nodes
-    without a link have no row; null ends are ignored.
+    A round deals the links to tasks of about ``task_links``, each of which replaces its own by
+    stars of what they connect. Links that need several tasks are then contracted twice: every node's larger
+    neighbours, then its smaller ones, are linked to the smallest node it knows. Both
+    are an aggregate and a join, so a hub is combined before the shuffle and never
+    gathered. Nodes without a link have no row; null ends are ignored.
     """
     a, b = F.col(left).cast("long"), F.col(right).cast("long")
-    pairs = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    pairs, before = stage(pairs), None
+    pairs = stage(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    n, before = pairs.count(), None
     for _ in range(most_rounds):
-        both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
-        after = stage(small)
-        sign = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        tasks = max(1, -(-n // task_links))
+        stars = pairs.coalesce(tasks).mapInArrow(_forests, "u long, v long")
+        if tasks > 1:
+            both = stage(stars.distinct())
+            stars, both = both, both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+            large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+            low = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
+            after = stage(small)
+            discard(stars)
+        else:
+            after = stage(stars)
         discard(pairs)
         pairs = after
-        if sign == before:
+        n, *sign = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if tasks == 1 or (n, sign) == before:
             break
-        before = sign
+        before = n, sign
     else:
         raise RuntimeError("components did not settle")
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("label")).union(pairs.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

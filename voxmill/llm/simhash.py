@@ -93,18 +93,14 @@ def _ball(k: int, shift: int, width: int, radius: int, fp: Column) -> Column:
     return F.transform(F.expr(f"array({', '.join(f'{m}L' for m in masks)})"), lambda mask: _entry(k, shift, width, fp, mask))
 
 
-def near_links(entries: DataFrame, distance: int = 4, segments: int = 3) -> DataFrame:
-    """Links (a, b) that connect exactly what pairs of fingerprints within ``distance`` connect.
-
-    ``entries`` holds distinct fingerprints ``fp``. More segments mean fewer probes and
-    more chance candidates; the links found are complete for any number.
-    """
+def _search(entries: DataFrame, distance: int, segments: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(first links, classes that they make, found links between different classes) of distinct fingerprints ``fp``."""
     layout = _layout(distance, segments)
     fp = F.col("fp")
     held = entries.select("fp", F.explode(F.array(*[_entry(k, s, w, fp) for k, (s, w, _) in enumerate(layout)])).alias("slot"))
     lead = held.groupBy("slot").agg(F.min("fp").alias("lead"), F.count("*").alias("n")).where("n > 1").select("slot", "lead")
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("lead"))) <= distance
-    first = stage(held.join(lead, "slot").where((F.col("fp") != F.col("lead")) & near).select(F.col("fp").alias("a"), F.col("lead").alias("b")).distinct())
+    first = stage(held.join(lead, "slot").where((F.col("fp") != F.col("lead")) & near).select(F.col("fp").alias("a"), F.col("lead").alias("b")))
     known = components(first).withColumnRenamed("node", "fp")
     marked = stage(entries.select("fp").join(known, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label")))
 
@@ -119,7 +115,27 @@ def near_links(entries: DataFrame, distance: int = 4, segments: int = 3) -> Data
     wanted = F.when(F.col("label") == F.col("major"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
     probes = probes.select("slot", F.col("fp").alias("a"), F.col("label").alias("from"), F.explode(wanted).alias("main"))
     found = probes.join(listed, ["slot", "main"]).where((F.col("from") != F.col("label")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= distance))
-    return found.select("a", F.col("fp").alias("b")).distinct().union(first.select("a", "b"))
+    return first, marked, found.select("a", F.col("fp").alias("b"), "from", "label")
+
+
+def near_links(entries: DataFrame, distance: int = 4, segments: int = 3) -> DataFrame:
+    """Links (a, b) that connect exactly what pairs of fingerprints within ``distance`` connect.
+
+    ``entries`` holds distinct fingerprints ``fp``. More segments mean fewer probes and
+    more chance candidates; the links found are complete for any number.
+    """
+    first, _, found = _search(entries, distance, segments)
+    return found.select("a", "b").union(first).distinct()
+
+
+def near_classes(entries: DataFrame, distance: int = 4, segments: int = 3) -> DataFrame:
+    """Rows (fp, label) of all ``entries``: what :func:`near_links` connects has the smallest fp as label.
+
+    The links found are contracted to links of the classes known before, as few as those are.
+    """
+    _, marked, found = _search(entries, distance, segments)
+    merged = components(found, "from", "label").select(F.col("node").alias("label"), F.col("label").alias("top"))
+    return marked.join(merged, "label", "left").select("fp", F.coalesce("top", "label").alias("label"))
 
 
 def near_components(docs: DataFrame, distance: int = 4, width: int = 4, segments: int = 3) -> DataFrame:
@@ -130,8 +146,7 @@ def near_components(docs: DataFrame, distance: int = 4, width: int = 4, segments
     """
     made = stage(fingerprints(docs, width))
     entries = stage(made.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    labels = components(stage(near_links(entries, distance, segments))).withColumnRenamed("node", "fp")
-    placed = entries.join(labels, "fp", "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label"))
+    placed = stage(entries.join(near_classes(entries, distance, segments), "fp"))
     heads = placed.groupBy("label").agg(F.min("first_id").alias("component_id"))
     return made.join(placed.join(heads, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
