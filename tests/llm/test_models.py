@@ -144,6 +144,26 @@ def test_context_tree_scores(spark):
     assert language_model.score(d.limit(0), condition).count() == 0
 
 
+def test_context_tree_scores_do_not_depend_on_chunks(spark, monkeypatch):
+    rng = random.Random(23)
+    texts = [" ".join(f"w{rng.randrange(40)}" for _ in range(rng.randrange(30))) for _ in range(150)] + ["long " * 400, "", None]
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, t) for k, t in enumerate(texts)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    condition = F.coalesce(F.col("doc_id"), F.lit(0)) % 5 == 1
+
+    def scored():
+        found = language_model.score(d, condition).collect()
+        return sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 2)) for r in found)
+
+    whole = scored()
+    monkeypatch.setattr(language_model, "CHUNK_BYTES", 400)
+    monkeypatch.setattr(language_model, "SLICE_BYTES", 100)
+    per_chunk = d.select(F.coalesce("text", F.lit("")).alias("text"), "doc_id")
+    sizes = per_chunk.groupBy(language_model._chunk(per_chunk, 12).alias("chunk")).agg(F.sum(F.octet_length("text")).alias("n")).collect()
+    assert len(sizes) > 12 and sorted(r["n"] for r in sizes)[-2] < 1200
+    assert scored() == whole
+
+
 def test_lookup_tables():
     rng = np.random.default_rng(0)
     keys = np.unique(rng.integers(0, 1 << 48, 5000, dtype=np.uint64))

@@ -7,8 +7,8 @@ from the training texts; the context tree weights a node's own estimate against
 of its children by their evidence, so a prediction mixes all depths. The sum of the
 decisions' logarithms is the text's code length.
 
-Work is dealt in two ways. Texts are cut into chunks by doc_id; a chunk's distinct words and
-byte runs leave it as sorted, packed binary columns, one per hash bucket, so what is shuffled is each
+Work is dealt in two ways. Texts are cut into chunks of about equal bytes by doc_id, and by text
+within ranges of ids that hold more; a chunk's distinct words and byte runs leave it as sorted, packed binary columns, one per hash bucket, so what is shuffled is each
 chunk's vocabulary, not each occurrence. Buckets sum the training counts over chunks, trees
 are weighted in groups of their two latest bytes, and values return to the chunks that asked,
 which score their whole texts by lookup. Nothing of the model is broadcast but the two
@@ -26,8 +26,9 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxmill.llm.common import small, stage
@@ -36,8 +37,10 @@ from voxmill.llm.ranges import cuts_of, place_of
 DEPTH = 5
 #: Bytes that UTF-8 never contains: before a text's first byte, and after its last.
 PAD, END = 0xFE, 0xFF
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 12 << 20
 BLOCK_BYTES = 4 << 20
+#: Text scored at once.
+SLICE_BYTES = 2 << 20
 WORDS, RUNS = 0, 1
 #: The end of a text as a token; no word contains white space.
 END_TOKEN = b"\n"
@@ -306,7 +309,7 @@ class Lookup:
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
         self.levels = []
         while len(keys):
-            bits = max(4, int(4 * len(keys) - 1).bit_length())
+            bits = max(4, int(2 * len(keys) - 1).bit_length())
             slot = self._slot(keys, bits)
             table, held = np.full(1 << bits, ~np.uint64(0)), np.zeros(1 << bits, values.dtype)
             table[slot], held[slot] = keys, values
@@ -340,6 +343,18 @@ class Lookup:
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
+def _slices(texts: pa.ChunkedArray) -> Iterator[pa.Array]:
+    """The texts in order, in slices of about ``SLICE_BYTES``; a longer text is a slice of its own."""
+    for part in texts.chunks:
+        ends = np.cumsum(pc.binary_length(part).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < len(part):
+            start = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, start + SLICE_BYTES, "right")))
+            yield part.slice(at, to - at)
+            at = to
+
+
 def _score_chunk(total: int, distinct: int):
     unit = math.log10(total + distinct + 1)
 
@@ -347,41 +362,60 @@ def _score_chunk(total: int, distinct: int):
         if docs.num_rows == 0:
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=[c.split()[0] for c in SCORED.split(", ")])
         kinds = blobs.column("kind").to_numpy()
-        _, word_key, word_n = _read(blobs.filter(pa.array(kinds == WORDS)), np.int64)
         _, run_key, run_value = _read(blobs.filter(pa.array(kinds == RUNS)), np.float32)
         runs = Lookup(run_key, run_value)
-        place: defaultdict[bytes, int] = defaultdict(count().__next__)
-        texts: list[bytes] = []
-        listed: list[np.ndarray] = []
-        for text in docs.column("text").to_pylist():
-            words = tokens(text.encode("utf-8", "surrogatepass"))
-            texts.append(normal(words))
-            listed.append(np.fromiter((place[w] for w in words), np.int64, len(words)))
-        keys = word_keys(list(place))
+        del run_key, run_value
+        _, word_key, word_n = _read(blobs.filter(pa.array(kinds == WORDS)), np.int64)
+        del blobs
         order = np.argsort(word_key)
-        counted = word_n[order][np.searchsorted(word_key[order], keys)]
-        value = np.log10(counted + 1.0)
-        base = [float(value[x].sum() - len(x) * unit) for x in listed]
-        known = [int((counted[x] > 0).sum()) for x in listed]
-        scores: list[np.ndarray] = []
-        at = 0
-        while at < len(texts):
-            to, size = at, 0
-            while to < len(texts) and (to == at or size < BLOCK_BYTES):
-                size += len(texts[to])
-                to += 1
-            asked, predicted, starts = run_keys(texts[at:to])
+        word_key, word_n = word_key[order], word_n[order]
+        made: list[list[float]] = [[], [], [], []]
+        for part in _slices(docs.column("text")):
+            place: defaultdict[bytes, int] = defaultdict(count().__next__)
+            texts, listed = [], []
+            for text in part.to_pylist():
+                words = tokens(text.encode("utf-8", "surrogatepass"))
+                texts.append(normal(words))
+                listed.append(np.fromiter((place[w] for w in words), np.int64, len(words)))
+            counted = word_n[np.searchsorted(word_key, word_keys(list(place)))]
+            value = np.log10(counted + 1.0)
+            asked, predicted, starts = run_keys(texts)
             gained = np.zeros(len(asked))
             gained[predicted] = runs(asked[predicted])
-            scores.append(np.add.reduceat(gained, starts))
-            at = to
-        return pa.table([
-            docs.column("doc_id"), docs.column("held_out"), pa.array([len(x) for x in listed], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(np.concatenate(scores), pa.float64()),
-        ], names=[c.split()[0] for c in SCORED.split(", ")])
+            made[0] += [len(x) for x in listed]
+            made[1] += [int((counted[x] > 0).sum()) for x in listed]
+            made[2] += [float(value[x].sum() - len(x) * unit) for x in listed]
+            made[3] += np.add.reduceat(gained, starts).tolist()
+        kept = [docs.column("doc_id"), docs.column("held_out")]
+        return pa.table(kept + [pa.array(x, t) for x, t in zip(made, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=[c.split()[0] for c in SCORED.split(", ")])
 
     return run
 
 
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The (tokens, distinct) pairs of buckets as numbers."""
+    for batch in batches:
+        both = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["t", "d"])
+
+
+def _chunk(rows: DataFrame, parts: int) -> Column:
+    """Chunk of a row (doc_id, text): ranges of ids with about equal numbers of rows, those of many bytes cut by text.
+
+    So neither long texts, nor rows of one id or without an id, nor more parts than ranges make a chunk large;
+    only equal texts of one range, and a single long text, stay whole.
+    """
+    cuts = cuts_of(rows, "doc_id", parts)
+    spot = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(place_of(cuts, F.col("doc_id"))).cast("int")
+    sized = rows.groupBy(spot.alias("spot")).agg(F.sum(F.octet_length("text").cast("long")).alias("bytes")).collect()  # at most 16,385 rows
+    shares = [1] * (len(cuts) + 2)
+    for r in sized:
+        shares[r["spot"]] = max(1, -(-int(r["bytes"]) // (CHUNK_BYTES + CHUNK_BYTES // 2)))
+    first = np.concatenate(([0], np.cumsum(shares)[:-1])).tolist()
+    share = F.expr(f"array({', '.join(f'{c}L' for c in shares)})")[spot]
+    return (F.expr(f"array({', '.join(f'{c}L' for c in first)})")[spot] + F.pmod(F.xxhash64("text"), share)).cast("long")
+
+
 def score(docs: DataFrame, held_out, least_chunks: int = 12) -> DataFrame:
     """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one for each row of ``docs``.
 
@@ -392,19 +426,14 @@ def score(docs: DataFrame, held_out, least_chunks: int = 12) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     parts = max(least_chunks, -(-size // CHUNK_BYTES))
-    cuts = cuts_of(rows, "doc_id", parts)
-    # Rows without an id have as many chunks of their own, by text.
-    chunk = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1) + F.pmod(F.xxhash64("text"), F.lit(parts))).otherwise(place_of(cuts, F.col("doc_id")))
-    chunked = rows.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"), chunk.cast("long").alias("chunk"))
-    buckets = min(65_536, max(24, parts))
+    chunked = rows.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"), _chunk(rows, parts).alias("chunk"))
+    buckets = max(24, parts)
 
     gathered = stage(gather(chunked, buckets))
     asked = gathered.where(F.col("kind") == RUNS)
     words = stage(gathered.where(F.col("kind") == WORDS).groupBy("bucket").applyInArrow(sum_words, BLOB))
-    total = distinct = 0
-    for row in words.where("chunk = -1").select("vals").toLocalIterator():  # one pair for each bucket
-        t, d = np.frombuffer(row["vals"], np.int64)
-        total, distinct = total + int(t), distinct + int(d)
+    sums = words.where("chunk = -1").select("vals").mapInArrow(_pairs, "t long, d long").agg(F.sum("t"), F.sum("d")).first()
+    total, distinct = (int(x or 0) for x in sums)
 
     counted = asked.groupBy("bucket").applyInArrow(sum_runs, "key long, n long, top long")
     trees = stage(counted.groupBy("top").applyInArrow(weigh_subtree, "key long, mixed binary, latest int, prefix int, n0 double, n1 double, evidence double"))
