@@ -1,6 +1,7 @@
 """Mixing, sharding, fingerprints, token store and url rules against plain versions."""
 
 import collections
+import functools
 import hashlib
 import random
 import re
@@ -9,6 +10,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -116,17 +118,48 @@ def test_assign(spark):
 
 
 def slow_signature(text, k=3, size=2):
-    """Bins of minimal occurrence-numbered k-mers in text order, by set membership rather than sorting."""
+    """Bin -> hash of its minimal occurrence-numbered k-mers in text order, one k-mer after the other."""
     words = (text or "").split()
-    mers = [tuple(words[i : i + k]) for i in range(len(words) - k + 1)] or ([tuple(words)] if words else [])
-    seen = collections.Counter()
-    out = []
-    for place, m in enumerate(mers):
-        seen[m] += 1
-        out.append((m, seen[m], place))
+    mers = [words[i : i + k] for i in range(len(words) - k + 1)] or ([[" ".join(words)]] if words else [])
+    chain = lambda parts, seed: functools.reduce(lambda h, b: xxhash.xxh64_intdigest(b, seed=h), parts, seed)
+    cut = lambda h: h >> 20 << 20
+    seen, bins = collections.Counter(), collections.defaultdict(list)
+    for place, mer in enumerate(mers):
+        h = cut(chain([w.encode() for w in mer], 42))
+        again = seen[h]
+        seen[h] += 1
+        if again:
+            h = cut(chain([h.to_bytes(8, "little"), again.to_bytes(4, "little")], 42))
+        bins[h >> 58].append((h, place))
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    order = lambda e: (signed(e[0]), e[1])
+    out = {}
+    for b, found in bins.items():
+        chosen = sorted(sorted(found, key=order)[:size], key=lambda e: e[1])
+        out[b] = functools.reduce(lambda h, e: chain([h.to_bytes(8, "little"), e[0].to_bytes(8, "little")], 42), chosen, 42) >> 6
     return out
 
 
+def test_signature_against_brute_force(spark):
+    rng = random.Random(5)
+    draw = lambda n, m: " ".join(f"w{rng.randrange(m)}" for _ in range(n))
+    texts = ["", None, "one", "one two", "a b c", "a b c d " * 70, draw(40, 9), draw(900, 12), draw(3000, 4000), "été " * 300]
+    d = spark.createDataFrame(list(enumerate(texts)), "n long, text string")
+    # 8 packed words: the form of texts too long for packed positions has to give the same
+    for packed_words in (1 << 20, 8):
+        for k, size in ((3, 2), (2, 3)):
+            got = d.select("n", order_minhash.signature(F.col("text"), k, size, packed_words).alias("s")).collect()
+            for r in got:
+                want = slow_signature(texts[r["n"]], k, size)
+                assert {(x % (1 << 64)) >> 58: x % (1 << 58) for x in r["s"]} == want and len(r["s"]) == len(want)
+
+
+def test_positions_of_a_text_beyond_packed_ones(spark):
+    text = " ".join(f"w{i}" for i in range((1 << 20) + 5000))
+    r = spark.createDataFrame([(text,)], "text string").select(order_minhash.signature(F.col("text")).alias("s")).first()
+    assert {(x % (1 << 64)) >> 58: x % (1 << 58) for x in r["s"]} == slow_signature(text)
+
+
 def test_fingerprints(spark):
     rng = random.Random(8)
     words = [f"w{k}" for k in range(500)]
@@ -144,7 +177,11 @@ def test_fingerprints(spark):
     like = lambda a, b: len(set(sign[a]) & set(sign[b])) / len({x >> 58 for x in sign[a] + sign[b]})
     assert like(1, 3) < 0.9 and like(1, 2) == 1  # order counts, although nearly all words are shared
     assert like(5, 6) < 1  # so do repeats: only occurrence numbers tell these apart
-    assert len(slow_signature(texts[4][1])) == 198
+    likeness = lambda a, b: sum(a.get(k) == b[k] for k in b) / len(a.keys() | b.keys()) if a or b else 1.0
+    for r in rows:
+        text = next(t for i, t in texts if i == r["doc_id"] and len(t or "") == r["n_chars"])
+        made = slow_signature(text)
+        assert r["fingerprint"] == "".join(f"{made[b] % (1 << 48):012x}" if b in made else "-" * 12 for b in range(64))
     # the edited text and neighbours by descending doc_id, null ids last
     order = sorted(texts, key=lambda r: (r[0] is None, -(r[0] or 0)))
     ids = [r[0] for r in order]
@@ -153,6 +190,8 @@ def test_fingerprints(spark):
             text, following = text or "", order[(k + 1) % len(order)][1] or ""
             n = len(text) // 3
             r = by[i, len(text)]
+            mine, changed = slow_signature(text), slow_signature(text[: len(text) - n] + following[:n])
+            assert abs(r["near_edited"] - likeness(mine, changed)) < 1e-12 and abs(r["near_next"] - likeness(mine, slow_signature(following))) < 1e-12
             assert r["edited_sha256"] == hashlib.sha256((text[: len(text) - n] + following[:n]).encode()).hexdigest()
             assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
     assert order_minhash.compare(d.limit(0)).count() == 0

@@ -16,6 +16,9 @@ Only DataFrame functions are used.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -24,55 +27,66 @@ from voxmill.llm.common import bind, stage, words
 from voxmill.llm.ranges import cuts_of, place_of
 
 BINS = 64
-#: Low bits of a packed element hold the position; longer texts share positions in steps.
+#: Low bits of a packed element hold the position; texts of more k-mers hold elements as (hash, position).
 POSITION_BITS = 20
 BIN_SHIFT = 58
+LOW, HIGH = (1 << POSITION_BITS) - 1, ~((1 << POSITION_BITS) - 1)
+
+
+@dataclass(frozen=True)
+class Form:
+    """How an element holds its hash and its position; elements sort by hash, then position."""
+
+    pack: Callable[[Column, Column], Column]
+    hash: Callable[[Column], Column]
+    place: Callable[[Column], Column]
+    type: str
+
 
+#: One long for both. The hash is cut to the high bits in either form, so both give the same signature.
+LONGS = Form(lambda h, p: h.bitwiseAND(F.lit(HIGH)).bitwiseOR(p.cast("long")), lambda x: x.bitwiseAND(F.lit(HIGH)), lambda x: x.bitwiseAND(F.lit(LOW)), "bigint")
+PAIRS = Form(lambda h, p: F.struct(h.bitwiseAND(F.lit(HIGH)).alias("h"), p.cast("long").alias("p")), lambda x: x["h"], lambda x: x["p"], "struct<h:bigint,p:bigint>")
 
-def _packed(listed: Column, k: int) -> Column:
-    """One long per k-mer: bin and hash above, position below. Fewer words than k make one k-mer of all."""
-    low = (1 << POSITION_BITS) - 1
+
+def _elements(listed: Column, k: int, form: Form) -> Column:
+    """One element per k-mer. Fewer words than k make one k-mer of all."""
     n = F.size(listed) - (k - 1)
-    step = F.ceil(F.greatest(n, F.lit(1)) / F.lit(1 << POSITION_BITS)).cast("long")
-    at = F.sequence(F.lit(0), n - 1)
-    full = F.transform(at, lambda i: F.xxhash64(*[listed[i + j] for j in range(k)]).bitwiseAND(F.lit(~low)).bitwiseOR(F.floor(i / step)))
-    short = F.array(F.xxhash64(F.concat_ws(" ", listed)).bitwiseAND(F.lit(~low)))
-    return F.when(n > 0, full).when(F.size(listed) > 0, short).otherwise(F.array().cast("array<bigint>"))
+    full = F.transform(F.sequence(F.lit(0), n - 1), lambda i: form.pack(F.xxhash64(*[listed[i + j] for j in range(k)]), i))
+    short = F.array(form.pack(F.xxhash64(F.concat_ws(" ", listed)), F.lit(0)))
+    return F.when(n > 0, full).when(F.size(listed) > 0, short).otherwise(F.array().cast(f"array<{form.type}>"))
 
 
-def _numbered(packed: Column) -> Column:
+def _numbered(elements: Column, form: Form) -> Column:
     """Sorted elements: a first occurrence keeps its hash, occurrence n of a k-mer is hashed with n.
 
-    ``packed`` is sorted, so repeats are neighbours; the rank of one among them comes from a
+    ``elements`` is sorted, so repeats are neighbours; the rank of one among them comes from a
     binary search for the first, made for repeats only.
     """
-    high, low = F.lit(~((1 << POSITION_BITS) - 1)), F.lit((1 << POSITION_BITS) - 1)
-    n = F.size(packed)
-    is_repeat = lambda i: (i > 0) & (packed[i].bitwiseAND(high) == packed[F.greatest(i - 1, F.lit(0))].bitwiseAND(high))
+    n = F.size(elements)
+    is_repeat = lambda i: (i > 0) & (form.hash(elements[i]) == form.hash(elements[F.greatest(i - 1, F.lit(0))]))
     every = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
     def first_of(i: Column) -> Column:
-        base = packed[i].bitwiseAND(high)
+        base = form.hash(elements[i])
         steps = F.sequence(F.lit(1), F.ceil(F.log2(n + 1)).cast("int") + 1)
 
         def halve(s: Column, _: Column) -> Column:
             middle = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-            left = packed[middle] >= base
+            left = form.hash(elements[middle]) >= base
             going = s["lo"] < s["hi"]
             return F.struct(F.when(going & ~left, middle + 1).otherwise(s["lo"]).alias("lo"), F.when(going & left, middle).otherwise(s["hi"]).alias("hi"))
 
         return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), i.alias("hi")), halve, lambda s: s["lo"])
 
-    firsts = F.filter(packed, lambda x, i: ~is_repeat(i))
-    again = F.transform(F.filter(every, is_repeat), lambda i: F.xxhash64(packed[i].bitwiseAND(high), i - first_of(i)).bitwiseAND(high).bitwiseOR(packed[i].bitwiseAND(low)))
+    firsts = F.filter(elements, lambda x, i: ~is_repeat(i))
+    again = F.transform(F.filter(every, is_repeat), lambda i: form.pack(F.xxhash64(form.hash(elements[i]), i - first_of(i)), form.place(elements[i])))
     has_repeat = F.exists(every, is_repeat)
-    return F.when(has_repeat, F.sort_array(F.concat(firsts, again))).otherwise(packed)
+    return F.when(has_repeat, F.sort_array(F.concat(firsts, again))).otherwise(elements)
 
 
-def _tuples(elements: Column, size: int) -> Column:
+def _tuples(elements: Column, size: int, form: Form) -> Column:
     """Array of (bin, hash of the ordered tuple) as packed longs: bin above, hash below."""
-    bin_of = lambda x: F.shiftrightunsigned(x, BIN_SHIFT)
-    low, high = F.lit((1 << POSITION_BITS) - 1), F.lit(~((1 << POSITION_BITS) - 1))
+    bin_of = lambda x: F.shiftrightunsigned(form.hash(x), BIN_SHIFT)
     least = F.filter(elements, lambda x, i: (i < size) | (bin_of(elements[F.greatest(i - size, F.lit(0))]) != bin_of(x)))
 
     def made(chosen: Column) -> Column:
@@ -82,7 +96,7 @@ def _tuples(elements: Column, size: int) -> Column:
 
         def signed(i: Column) -> Column:
             mine = F.filter(F.slice(chosen, i + 1, F.lit(size)), lambda x: bin_of(x) == bin_of(chosen[i]))
-            by_place = F.array_sort(F.transform(mine, lambda x: F.struct(x.bitwiseAND(low).alias("p"), x.bitwiseAND(high).alias("h"))))
+            by_place = F.array_sort(F.transform(mine, lambda x: F.struct(form.place(x).alias("p"), form.hash(x).alias("h"))))
             mixed = F.aggregate(by_place, F.lit(42).cast("long"), lambda s, x: F.xxhash64(s, x["h"]))
             return F.shiftleft(bin_of(chosen[i]), BIN_SHIFT).bitwiseOR(F.shiftrightunsigned(mixed, 64 - BIN_SHIFT))
 
@@ -91,9 +105,18 @@ def _tuples(elements: Column, size: int) -> Column:
     return bind(least, made)
 
 
-def signature(text: Column, k: int = 3, tuple_size: int = 2) -> Column:
-    """Array of longs, one for each bin that has an element, ordered by bin; empty for a blank or null text."""
-    return bind(words(text), lambda w: bind(F.sort_array(_packed(w, k)), lambda p: bind(_numbered(p), lambda e: _tuples(e, tuple_size))))
+def _signed(listed: Column, k: int, size: int, form: Form) -> Column:
+    return bind(F.sort_array(_elements(listed, k, form)), lambda p: bind(_numbered(p, form), lambda e: _tuples(e, size, form)))
+
+
+def signature(text: Column, k: int = 3, tuple_size: int = 2, packed_words: int = 1 << POSITION_BITS) -> Column:
+    """Array of longs, one for each bin that has an element, ordered by bin; empty for a blank or null text.
+
+    Elements of texts of more than ``packed_words`` words, whose positions may not fit a packed
+    long, are held as pairs; the signature does not depend on it.
+    """
+    fits = lambda w: F.size(w) <= min(packed_words, 1 << POSITION_BITS)
+    return bind(words(text), lambda w: F.when(fits(w), _signed(w, k, tuple_size, LONGS)).otherwise(_signed(w, k, tuple_size, PAIRS)))
 
 
 def as_text(sign: Column) -> Column:
