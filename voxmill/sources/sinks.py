@@ -40,6 +40,35 @@ def folder_exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the engine's own, if it is there."""
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, written beside its place and then moved there."""
+    place, beside = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.new"))
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = files.create(beside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    files.delete(place, False)
+    files.rename(beside, place)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file, or None when there is none."""
+    if not folder_exists(spark, path):
+        return None
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    given = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(place)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(given, "UTF-8")
+    finally:
+        given.close()
+
+
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame | None:
     """All batches of a table with their ``batch_id``, or None when none was written."""
     path = f"{root.rstrip('/')}/{table}"

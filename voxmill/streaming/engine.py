@@ -4,6 +4,10 @@ Training and prediction records arrive in one stream with a ``kind`` column,
 so both share a batch id and training is applied before prediction. Each
 micro-batch runs the batch operators and writes every table under its own
 ``batch_id`` folder, so a replayed batch overwrites what it wrote before.
+
+What outlives a batch (records that wait for a model, open answers, results and
+records that the truth may still meet) is kept in ledgers: a batch writes its
+changes, not the whole table, and reads no earlier batch's folders for them.
 """
 
 from __future__ import annotations
@@ -22,11 +26,16 @@ from ..operators import control, ensemble, evaluation, features, routing, throug
 from ..plans.batch import families_of, of_family
 from ..session import broadcast_within, cut
 from ..sources import arrival, registry, sinks
+from ..sources.ledger import Ledger
 from ..sources.records import CORRUPT
 
 TRAINING, PREDICTION = "training", "prediction"
 ROUTED = "model_id string, scope string, target string, task_type string, seq long, recordID string, fields map<string,string>, opened long"
 OPEN = "scope string, target string, recordID string, model_id string, algorithmType string, hyperParams string, prediction string, seq long, opened long"
+RECENT = "streamID string, dataSetKey string, recordID string, fields map<string,string>, ts timestamp"
+ANSWERED = "scope string, target string, recordID string, predicted string, pts timestamp, task_type string"
+#: Results meet the truth within a day; an hour more is kept for what comes late.
+JOIN_HOURS, GRACE_HOURS = 24, 1
 
 
 def both_kinds(training: DataFrame, prediction: DataFrame) -> DataFrame:
@@ -73,6 +82,16 @@ class Engine:
         newest = marks.where(F.col("version") < below).agg(F.max("version").alias("v")).first()["v"]
         return None if newest is None else registry.load(self.spark, path, family, newest)
 
+    def ledger(self, name: str) -> Ledger:
+        """One of the tables that outlive a batch: ``waiting``, ``open``, ``recent`` or ``answered``."""
+        schema, keys, clock = {
+            "waiting": (ROUTED, ("model_id", "scope", "target", "recordID", "seq"), None),
+            "open": (OPEN, ensemble.RECORD, None),
+            "recent": (RECENT, ("recordID",), "ts"),
+            "answered": (ANSWERED, ensemble.RECORD, "pts"),
+        }[name]
+        return Ledger(self.spark, self.root, name, schema, keys, clock)
+
     # -- one micro-batch --------------------------------------------------------
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
@@ -91,7 +110,7 @@ class Engine:
         answering = previous if self.prequential else states
         partials = self._predict(good.where(F.col("kind") == PREDICTION), active, answering, schemas, batch_id)
         self._combine(partials, active, batch_id, now)
-        self._evaluate(batch_id, now)
+        self._evaluate(good.where(F.col("kind") == PREDICTION), batch_id, now)
         sinks.write_batch(
             throughput.progress_row(self.spark, batch_id, "batch", rows, (time.time() - started) * 1000), self.root, "progress", batch_id
         )
@@ -220,17 +239,19 @@ class Engine:
     def _predict(self, prediction: DataFrame, active: DataFrame, states: dict, schemas: DataFrame | None, batch_id: int) -> DataFrame:
         """Answer what can be answered; rows of untrained models wait."""
         fresh = routing.route_to_models(prediction, active).withColumn("opened", F.lit(batch_id).cast("long"))
-        names = [f.split()[0] for f in ROUTED.split(", ")]
-        rows = fresh.select(*names)
-        waiting = self._before("waiting", batch_id)
-        if waiting is not None:
-            rows = rows.unionByName(waiting.join(active.select("model_id"), "model_id", "left_semi").select(*names))
+        waiting = self.ledger("waiting")
+        fresh = fresh.select(*waiting.columns)
         ready = [FAMILIES[f].trained(s) for f, s in states.items() if s is not None]
         trained = reduce(DataFrame.union, ready) if ready and schemas is not None else active.select("model_id").limit(0)
-        held = rows.join(trained, "model_id", "left_anti")
-        old = self._expired(batch_id)
-        sinks.write_batch(held.where(~old), self.root, "waiting", batch_id)
-        sinks.write_batch(held.where(old).select(*ensemble.RECORD, "opened", F.lit("prediction").alias("stage")).distinct(), self.root, "expired_held", batch_id)
+        trained = trained.select("model_id").distinct()
+        before = waiting.at(batch_id - 1)
+        kept = before.join(active.select("model_id"), "model_id", "left_semi")
+        rows = fresh.unionByName(kept.select(*waiting.columns))
+        late = kept.join(trained, "model_id", "left_anti").where(self._expired(batch_id))
+        leaving = [before.join(trained, "model_id", "left_semi"), before.join(active.select("model_id"), "model_id", "left_anti"), late]
+        gone = reduce(DataFrame.unionByName, [d.select(*waiting.keys) for d in leaving])
+        sinks.write_batch(late.select(*ensemble.RECORD, "opened", F.lit("prediction").alias("stage")).distinct(), self.root, "expired_held", batch_id)
+        waiting.write(batch_id, fresh.join(trained, "model_id", "left_anti"), gone)
         parts = []
         for family, state in states.items():
             if state is None or schemas is None:
@@ -243,37 +264,72 @@ class Engine:
         return sinks.write_batch(partials, self.root, "partials", batch_id)
 
     def _combine(self, partials: DataFrame, active: DataFrame, batch_id: int, now: Column) -> None:
-        """Complete records with new and open partials; the rest stays open."""
-        fresh = partials.withColumn("opened", F.lit(batch_id).cast("long"))
-        before = self._before("open", batch_id)
-        pool = fresh if before is None else fresh.unionByName(before.select(*fresh.columns))
-        opened = pool.groupBy(*ensemble.RECORD).agg(F.min("opened").alias("opened"))
+        """Complete records with new and open partials; the rest stays open.
+
+        Of the open records only those are combined again that a new partial
+        belongs to or whose learners have changed; the others cannot be complete.
+        A record without an id has no later answers: it is complete at once or not kept.
+        """
+        ledger, record = self.ledger("open"), list(ensemble.RECORD)
+        fresh = ensemble.first_per_model(partials).withColumn("opened", F.lit(batch_id).cast("long")).select(*ledger.columns)
+        before = ledger.at(batch_id - 1)
+        asked = broadcast_within(fresh.select(*record).distinct())
+        touched = before.join(asked, record, "left_semi")
+        regrouped = broadcast_within(self._regrouped(active, batch_id))
+        other = before.join(asked, record, "left_anti").join(regrouped, ["scope", "target"], "left_semi")
+        met = touched.unionByName(other.select(*touched.columns))
         done = sinks.write_batch(
-            ensemble.combine(pool, active).withColumn("pts", now), self.root, "ensemble", batch_id
+            ensemble.combine(fresh.unionByName(met.select(*fresh.columns)), active).withColumn("pts", now), self.root, "ensemble", batch_id
         )
         finished = done.select("scope", "target", F.col("recordId").alias("recordID"))
-        rest = ensemble.first_per_model(pool).join(finished, list(ensemble.RECORD), "left_anti").join(opened, list(ensemble.RECORD))
-        old = self._expired(batch_id)
-        sinks.write_batch(rest.where(~old), self.root, "open", batch_id)
+        # An answer given again is added only if it comes before the one that is held.
+        held = touched.groupBy(*record, "model_id").agg(F.min(F.struct("seq", "prediction")).alias("_held"))
+        new = fresh.join(held, [*record, "model_id"], "left").where(F.col("_held").isNull() | (F.struct("seq", "prediction") < F.col("_held"))).drop("_held")
+        old = before.where(self._expired(batch_id)).groupBy(*record).agg(F.min("opened").alias("opened")).join(finished, record, "left_anti")
+        gone = met.select(*record).join(finished, record, "left_semi").unionByName(old.select(*record))
+        new = new.where("recordID IS NOT NULL").join(finished, record, "left_anti").join(old, record, "left_anti")
+        ledger.write(batch_id, new, gone)
         held = sinks.read_batch(self.spark, self.root, "expired_held", batch_id)
-        gone = rest.where(old).select(*ensemble.RECORD, "opened", F.lit("ensemble").alias("stage")).distinct()
-        sinks.write_batch(gone.unionByName(held), self.root, "expired", batch_id)
+        late = old.select(*record, "opened", F.lit("ensemble").alias("stage"))
+        sinks.write_batch(late.unionByName(held), self.root, "expired", batch_id)
+
+    def _regrouped(self, active: DataFrame, batch_id: int) -> DataFrame:
+        """(scope, target) whose required learners are not those of the previous batch; one row per ensemble at most."""
+        members = ensemble.required(active).select("scope", "target", "model_id")
+        last = self._before("active", batch_id)
+        if last is None:
+            return members.select("scope", "target").distinct()
+        earlier = ensemble.required(last).select("scope", "target", "model_id")
+        return members.exceptAll(earlier).unionByName(earlier.exceptAll(members)).select("scope", "target").distinct()
 
     def _expired(self, batch_id: int) -> Column:
         return F.lit(False) if self.horizon is None else F.col("opened") < batch_id - self.horizon
 
-    def _evaluate(self, batch_id: int, now: Column) -> None:
-        """Counters of this batch's results joined with the truth of the last day."""
+    def _evaluate(self, asked: DataFrame, batch_id: int, now: Column) -> None:
+        """Counters of the pairs of result and truth that this batch completes.
+
+        An interval join, step by step: new results meet the truth known by now,
+        earlier results meet the truth that came with this batch. Each pair is
+        counted once, whichever side comes first.
+        """
+        recent, answered = self.ledger("recent"), self.ledger("answered")
+        floor = now - F.expr(f"INTERVAL {JOIN_HOURS + GRACE_HOURS} HOURS")
+        fresh = asked.select(*recent.columns).where(F.col("ts") >= floor)
+        known = recent.at(batch_id - 1).where(F.col("ts") >= floor)
         done = sinks.read_batch(self.spark, self.root, "ensemble", batch_id)
-        recent = self.table("input").where(
-            (F.col("kind") == PREDICTION) & (F.col("batch_id") <= batch_id) & (F.col("ts") >= now - F.expr("INTERVAL 25 HOURS"))
-        )
-        truth = evaluation.truth_of(recent, done)
         results = done.select("scope", "target", F.col("recordId").alias("recordID"), F.col("finalPrediction").alias("predicted"), "pts", "task_type")
-        kinds = results.select("scope", "target", "task_type").distinct()
-        pairs = evaluation.interval_pairs(truth, results).join(broadcast_within(kinds), ["scope", "target"])
+        earlier = answered.at(batch_id - 1).where(F.col("pts") >= floor)
+        pairs = self._pairs(known.unionByName(fresh), results).unionByName(self._pairs(fresh, earlier))
         sinks.write_batch(evaluation.confusion(pairs.where("task_type = 'classification'")), self.root, "confusion", batch_id)
         sinks.write_batch(evaluation.regression_sums(pairs.where("task_type = 'regression'")), self.root, "regression", batch_id)
+        recent.write(batch_id, fresh, floor=floor)
+        answered.write(batch_id, results, floor=floor)
+
+    @staticmethod
+    def _pairs(records: DataFrame, results: DataFrame) -> DataFrame:
+        kinds = results.select("scope", "target", "task_type").distinct()
+        truth = evaluation.truth_of(records, kinds)
+        return evaluation.interval_pairs(truth, results, JOIN_HOURS).join(broadcast_within(kinds), ["scope", "target"])
 
     # -- running metrics --------------------------------------------------------
 
