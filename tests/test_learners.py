@@ -366,3 +366,20 @@ def test_save_and_load(spark, make_records, tmp_path):
     again = batch.answer(batch.Fitted(fitted.active, fitted.schemas, loaded), records)
     key = lambda d: sorted((r["model_id"], r["recordID"], r["prediction"]) for r in d.collect())
     assert key(again) == key(partials)
+
+
+def test_tree_rows_are_dealt_to_all_cores_and_each_level_reads_fewer(spark, make_records, monkeypatch):
+    passes, plain = [], trees.fresh_cuts
+
+    def counted(rows, wanted):
+        passes.append((rows.rdd.getNumPartitions(), rows.count(), wanted.count()))
+        return plain(rows, wanted)
+
+    monkeypatch.setattr(trees, "fresh_cuts", counted)
+    rnd = random.Random(3)  # a narrow band of one feature is a class: one side settles at once
+    rows = [("s", "d", str(i), {"a": (a := rnd.random()), "b": rnd.random(), "lab": "in" if 0.8 < a < 0.9 else "out"}) for i in range(4000)]
+    records = make_records(rows).coalesce(1)
+    active = cut(control.fold_requests(tables.create_requests(records, [(1, "HoeffdingTree", "lab", C, {})], per_stream=False)))
+    batch.fit(active, records)
+    assert len(passes) >= 3 and passes[0][0] >= 4 and passes[0][1] == 4000
+    assert passes[-1][1] < 4000 and all(a[1] >= b[1] for a, b in zip(passes, passes[1:]))
