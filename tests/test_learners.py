@@ -383,3 +383,29 @@ def test_tree_rows_are_dealt_to_all_cores_and_each_level_reads_fewer(spark, make
     batch.fit(active, records)
     assert len(passes) >= 3 and passes[0][0] >= 4 and passes[0][1] == 4000
     assert passes[-1][1] < 4000 and all(a[1] >= b[1] for a, b in zip(passes, passes[1:]))
+
+
+def test_restarting_detector_reads_its_rows_a_few_times_however_many_alarms(spark, monkeypatch):
+    read, plain = [], drift._tracked
+
+    def counted(series, *rest):
+        read.append(series.count())
+        return plain(series, *rest)
+
+    monkeypatch.setattr(drift, "_tracked", counted)
+    # an alarm in every slice of the first half, none in the second
+    rows = [("k", i, 1.0 if i < 640 and i % 64 >= 32 else 0.0) for i in range(1280)] + [("late", 900, 0.5)]
+    df = spark.createDataFrame(rows, "k string, seq long, x double")
+    got = [r["at"] for r in drift.page_hinkley_restarts(df, ["k"], threshold=5.0, width=64).orderBy("alarm").collect()]
+    n, s, m, low, want = 0, 0.0, 0.0, None, []
+    for k, i, x in rows:
+        if k != "k":
+            continue
+        n, s = n + 1, s + x
+        m += x - s / n - drift.ALPHA
+        low = m if low is None else min(low, m)
+        if m - low > 5.0:
+            want.append(i)
+            n, s, m, low = 0, 0.0, 0.0, None
+    assert got == want and len(want) >= 8
+    assert sum(read) <= 2 * len(rows)
