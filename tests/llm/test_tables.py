@@ -242,6 +242,19 @@ def test_store_with_ties_and_nulls(spark, tmp_path):
     assert token_store.documents(token_store.read(spark, str(tmp_path / "b"))).count() == 0
 
 
+def test_encoder_makes_a_word_once_in_a_process(monkeypatch):
+    spec = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
+    made, ids = [], token_store.Encoder._ids
+    monkeypatch.setattr(token_store.Encoder, "_ids", lambda self, word: made.append(word) or ids(self, word))
+    token_store.encoder_of.cache_clear()
+    text = "Words words zürich don't 12 \u6f22 words"
+    first, second = (token_store.encoder_of("".join(spec))(text, 2) for _ in range(2))  # as two tasks do
+    token_store.encoder_of.cache_clear()
+    assert first == second and len(made) == len(set(made)) == 6
+    whole = Tokenizer.from_str(spec).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(first, "<u4").tolist() == [*whole, 2]
+
+
 def slow_judge(url):
     m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
     host, path = (m.group(1), m.group(2)) if m else ("", "")
