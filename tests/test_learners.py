@@ -9,7 +9,8 @@ from voxmill.learners import bayes, drift, linear, neighbours, split_stats as ss
 from voxmill.learners.base import with_chunks
 from voxmill.operators import control
 from voxmill.plans import batch, inputs
-from voxmill.session import cut
+from voxmill.plans.queries import CATALOG
+from voxmill.session import cut, stage
 from voxmill.sources import registry, tables
 
 C, R = "classification", "regression"
@@ -409,3 +410,17 @@ def test_restarting_detector_reads_its_rows_a_few_times_however_many_alarms(spar
             n, s, m, low = 0, 0.0, 0.0, None
     assert got == want and len(want) >= 8
     assert sum(read) <= 2 * len(rows)
+
+
+def test_root_statistics_parse_rows_once(spark, monkeypatch):
+    """Ranges are found in one pass over staged rows; rows without features or target count as before."""
+    rows = [("a", [1.0, None], 3.0), ("a", [4.0, 2.0], 5.0), ("a", None, 10.0), ("a", [0.0, 7.0], None), ("b", [], 1.0), ("c", [2.0], None)]
+    made = stage(spark.createDataFrame(rows, "model_id string, x array<double>, y double"))
+    edges = ss.bin_edges(made)
+    assert edges._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+    got = {r["model_id"]: (r["lo"], r["hi"], round(r["y0"], 9), round(r["ysd"], 9)) for r in edges.collect()}
+    assert got == {"a": ([0.0, 2.0], [4.0, 7.0], 6.0, round((26 / 3) ** 0.5, 9)), "c": ([2.0], [2.0], 0.0, 0.0)}
+    seen, real = [], ss.bin_edges
+    monkeypatch.setattr(ss, "bin_edges", lambda instances: seen.append(instances) or real(instances))
+    assert CATALOG["rule_expand"](spark, "/root/testdata/sf0.001").columns
+    assert hasattr(seen[0], "_staged_at")
