@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxmill.operators import ensemble, evaluation
+from voxmill.plans.queries import CATALOG
 
 PARTIAL = "scope string, target string, recordID string, model_id string, algorithmType string, hyperParams string, prediction string, seq long"
 ACTIVE = "scope string, target string, model_id string, task_type string, seq long"
@@ -85,3 +86,13 @@ def test_interval_stream(spark, tmp_path):
     )
     q.awaitTermination()
     assert spark.table("interval_pairs").count() == 50
+
+
+def test_truth_targets_come_from_the_models(spark, monkeypatch):
+    """The votes are not run only to learn which targets need a truth."""
+    seen, real = [], evaluation.truth_of
+    monkeypatch.setattr(evaluation, "truth_of", lambda records, targets: seen.append(targets) or real(records, targets))
+    for name in ("accuracy", "regression_metrics", "learner_metrics", "learner_errors"):
+        CATALOG[name](spark, "/root/testdata/sf0.001")
+    plans = [targets._jdf.queryExecution().optimizedPlan().toString() for targets in seen]
+    assert len(plans) == 4 and not [p for p in plans if "Relation" in p or "Union" in p]
