@@ -256,6 +256,24 @@ def test_linear_steps_follow_the_rows(spark, make_records, monkeypatch):
     assert losses[1] < 0.6 * losses[0]
 
 
+def test_neighbours_grade_few_pairs_and_answer_by_the_definition():
+    rng = np.random.default_rng(4)
+    held, asked = rng.integers(0, 30, (600, 3)).astype(float), rng.integers(-2, 33, (700, 3)).astype(float)
+    held[::9, 0], asked[::7, 2], asked[3, 1], asked[4, 1] = np.nan, np.nan, np.inf, 1e200
+    rows = neighbours.pd.DataFrame({"seq": np.arange(600), "x": list(held), "label": rng.choice(list("abc"), 600), "y": rng.normal(size=600)})
+    span = np.nanmax(held, axis=0) - np.nanmin(held, axis=0)
+    with np.errstate(all="ignore"):
+        apart = np.stack([np.where(np.isnan(d := asked[:, None, j] - held[None, :, j]), 1.0, (d / span[j]) ** 2) for j in range(3)], axis=2)
+        far = np.round(np.sqrt(apart.sum(axis=2)), 9)
+    near = np.argsort(far, axis=1, kind="stable")[:, :5]
+    memory = neighbours._Memory(rows, 5, False)
+    labels = rows["label"].to_numpy()
+    assert memory.answer(asked) == [max(sorted(set(labels[n])), key=list(labels[n]).count) for n in near]
+    assert memory.graded < far.size // 20
+    means = [float(v) for v in neighbours._Memory(rows, 5, True).answer(asked)]
+    assert np.allclose(means, rows["y"].to_numpy()[near].mean(axis=1))
+
+
 def test_linear_rows_without_truth_change_nothing(spark):
     rows = [("m", i, [0.1 * i, None if i % 3 else 1.0], None if i % 4 == 0 else ("a" if i % 2 else "b"), None) for i in range(30)]
     df = spark.createDataFrame(rows, "model_id string, seq long, x array<double>, label string, y double")

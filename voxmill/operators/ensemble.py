@@ -16,9 +16,14 @@ def usable(partials: DataFrame) -> DataFrame:
     return partials.where("algorithmType IS NOT NULL AND hyperParams IS NOT NULL")
 
 
+def _hash() -> Column:
+    """Hash of a record, to lead its keys: rows are sorted by one number, texts are compared only where it is equal."""
+    return F.xxhash64(*RECORD).alias("_record")
+
+
 def first_per_model(partials: DataFrame) -> DataFrame:
     """First partial of each model for a record; copies combine map-side."""
-    return usable(partials).groupBy(*RECORD, "model_id").agg(
+    return usable(partials).groupBy(_hash(), *RECORD, "model_id").agg(
         F.min_by(
             F.struct("algorithmType", "hyperParams", "prediction", "seq"),
             F.struct("seq", "prediction"),
@@ -56,12 +61,12 @@ def combine(partials: DataFrame, active: DataFrame, minimum: int = 2, deduplicat
     """
     firsts = usable(partials) if deduplicated else first_per_model(partials)
     entry = F.struct("algorithmType", "prediction", "hyperParams")
-    grouped = _answers(firsts, active, minimum).groupBy(*RECORD).agg(
+    grouped = _answers(firsts, active, minimum).groupBy(_hash(), *RECORD).agg(
         F.count(F.lit(1)).alias("_n"),
         F.first("n_models").alias("_needed"),
         F.first("task_type").alias("_task"),
         majority(F.col("prediction")).alias("_vote"),
-        mean_text(F.col("prediction")).alias("_mean"),
+        mean_text(F.when(F.col("task_type") == "regression", F.col("prediction"))).alias("_mean"),
         F.sort_array(F.collect_list(entry)).alias("partialPredictions"),
         F.max("seq").alias("seq"),
     )
