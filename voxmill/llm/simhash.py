@@ -23,8 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxmill.llm.common import components, stage
-from voxmill.llm.near_copies import keep_best, text_key
+from voxmill.llm.common import components, keep_best, stage, text_key
 
 SEED = 42
 BITS = 64
@@ -51,6 +50,15 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
+def majority(hashes: np.ndarray) -> int:
+    """SimHash of given 64-bit hashes, as a signed long: bit set if set in over half of them."""
+    counts = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        raw = hashes[at : at + BLOCK].astype(">u8").view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(raw, axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big", signed=True)
+
+
 def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
