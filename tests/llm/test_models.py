@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from voxmill.llm import boosting, html_text, language_model, toxicity
@@ -71,6 +72,21 @@ def test_toxicity_rows_are_bounded_and_weighted(spark, monkeypatch):
     assert seen[-1][0] == 60
 
 
+def test_toxicity_rows_reach_the_driver_as_arrays(spark, monkeypatch):
+    texts = [(k, f"some plain words {chr(97 + k % 20) * 3}" + (" vileness women" if k % 4 == 0 else "")) for k in range(40)]
+    d = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    lab = spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k in range(40)], "doc_id long, quality int, toxic int")
+    plain, seen = toxicity._descend, []
+    monkeypatch.setattr(toxicity, "_descend", lambda *given: seen.append(given) or plain(*given))
+    monkeypatch.setattr(type(d), "toPandas", lambda self: pytest.fail("a pandas frame in the driver"))
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda *given: pytest.fail("rows sent back by the driver"))
+    toxicity.fit(d, lab)
+    y, n, on, swaps = seen[0][:4]
+    rows = [(a, b, tuple(c), tuple(e)) for a, b, c, e in zip(y, n, on, swaps)]
+    assert rows == sorted(rows) and len(rows) == sum(zlib.crc32(str(k).encode()) % 5 > 0 for k in range(40))
+    assert all(isinstance(x, np.ndarray) for x in on) and sum(map(len, swaps)) and sum(map(len, on))
+
+
 def slow_tree_score(train, texts, depth):
     """Context-tree weighting by its definition, node by node."""
     counts = collections.defaultdict(lambda: [0, 0])

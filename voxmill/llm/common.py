@@ -16,6 +16,8 @@ from voxmill.session import shared_folder
 BLANKS = " \t\n\x0b\f\r"
 BLANK_RUN = "[ \\t-\\r]+"
 WORD_RUN = "[^ \\t-\\r]+"
+#: Repeated texts that are told to all tasks; of more, the rows of all texts are shuffled.
+MOST_REPEATED = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -159,12 +161,23 @@ def text_key(text: Column) -> Column:
 def keep_best(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """``docs`` with one row of each class (k, label) of text keys, chosen by (id is null, doc_id, text key)."""
     key = fresh(docs, "_text_key")
-    rows = docs.select(text_key(F.col("text")).alias("k"), F.col("doc_id").cast("long").alias("id"))
-    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k")).alias("best")
+    rows = docs.select(text_key(F.col("text")).alias("k"), F.col("doc_id").cast("long").alias("id")).groupBy("k", "id").agg(F.count("*").alias("m"))
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k", "m")).alias("best")
     per_text = rows.groupBy("k").agg(best)
     chosen = per_text.join(classes, "k", "left").groupBy(F.coalesce("label", "k").alias("label")).agg(F.min("best").alias("best"))
-    chosen = stage(chosen.select(F.col("best.id").alias("id"), F.col("best.k").alias(key)))
-    wanted = chosen.withColumnRenamed("id", name := fresh(docs, "_id"))
+    chosen = stage(chosen.select(F.col("best.id").alias("id"), F.col("best.k").alias(key), F.col("best.m").alias("m")))
     held = docs.withColumn(key, text_key(F.col("text")))
-    same = (held[key] == wanted[key]) & held["doc_id"].cast("long").eqNullSafe(wanted[name])
-    return held.join(wanted, same, "left_semi").dropDuplicates([key]).drop(key)
+
+    def rows_of(wanted: DataFrame) -> DataFrame:
+        wanted = wanted.withColumnRenamed("id", name := fresh(docs, "_id")).drop("m")
+        same = (held[key] == wanted[key]) & held["doc_id"].cast("long").eqNullSafe(wanted[name])
+        return held.join(wanted, same, "left_semi")
+
+    # Texts are shuffled once; only rows that the table has again are shuffled to be one row each.
+    again = chosen.where("m > 1")
+    repeated = again.count()
+    if not repeated:
+        return rows_of(chosen).drop(key)
+    if repeated > MOST_REPEATED:
+        return rows_of(chosen).dropDuplicates([key]).drop(key)
+    return rows_of(chosen.where("m = 1")).union(rows_of(F.broadcast(again)).dropDuplicates([key])).drop(key)

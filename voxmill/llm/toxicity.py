@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxmill.llm.common import sampled, small
+from voxmill.llm.common import discard, sampled, small, stage
 
 LETTERS = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
@@ -95,11 +95,10 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 30_000, columns: in
     Columns are the features whose log odds stand ``least_z`` standard errors from zero, so that
     a small sample brings few of them. Without any toxic or any clean document the score is constant.
     """
-    chosen = training_ids(labels, most_rows).collect()
-    if not chosen:
+    chosen = stage(training_ids(labels, most_rows))
+    if chosen.isEmpty():
         return Model(0.0, {})
-    spark = docs.sparkSession
-    sample = F.broadcast(spark.createDataFrame(chosen, "doc_id long, y int"))  # at most most_rows rows
+    sample = F.broadcast(chosen)  # at most most_rows rows
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sample, "doc_id")
     texts = _distinct(texts, most_rows)
 
@@ -136,12 +135,22 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 30_000, columns: in
                 swaps.append([index[x] for w in sorted(found & GROUP_OF.keys()) for other in GROUP_OF[w] if other != w for x in (w, other)])
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(on, pa.list_(pa.int32())), pa.array(swaps, pa.list_(pa.int32()))], ["y", "n", "features", "swaps"])
 
-    rows = texts.mapInArrow(encode, "y int, n long, features array<int>, swaps array<int>").toPandas()
-    rows = rows.iloc[sorted(range(len(rows)), key=lambda k: (rows["y"][k], rows["n"][k], tuple(rows["features"][k]), tuple(rows["swaps"][k])))]
-    weights, bias = _descend(rows["y"].to_numpy(float), rows["n"].to_numpy(float), list(rows["features"]), list(rows["swaps"]), len(names), [index[t] for t in GROUP_OF], ridge, swap, steps)
+    rows = texts.mapInArrow(encode, "y int, n long, features array<int>, swaps array<int>").toArrow()
+    discard(chosen)
+    y, n = (rows.column(c).to_numpy().astype(float) for c in ("y", "n"))
+    on, swaps = _lists(rows.column("features")), _lists(rows.column("swaps"))
+    # Big-endian bytes compare like the lists.
+    order = sorted(range(len(y)), key=lambda k: (y[k], n[k], on[k].astype(">u4").tobytes(), swaps[k].astype(">u4").tobytes()))
+    weights, bias = _descend(y[order], n[order], [on[k] for k in order], [swaps[k] for k in order], len(names), [index[t] for t in GROUP_OF], ridge, swap, steps)
     return Model(bias, {name: float(w) for name, w in zip(names, weights) if w})
 
 
+def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The lists of a column as views of one array, not as Python objects."""
+    held = column.combine_chunks()
+    return np.split(held.flatten().to_numpy(), np.cumsum(held.value_lengths().to_numpy())[:-1]) if len(held) else []
+
+
 def _distinct(texts: DataFrame, most: int) -> DataFrame:
     """Rows (y, n, text) from (doc_id, y, text): each text of an id once, n times in the table; at most ``most``, by hash."""
     keyed = texts.withColumn("h", F.xxhash64("text"))
