@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.session import shared_folder
+from voxmill.session import shared_folder, shuffles_freed
 
 #: White space of all word rules: space and \t to \r.
 BLANKS = " \t\n\x0b\f\r"
@@ -52,9 +52,10 @@ def word_count(text: Column) -> Column:
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again: no lineage, computed once."""
+    """``df`` written to the shared folder and read again: no lineage, computed once; its shuffle files go at once."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_freed(df.sparkSession):
+        df.write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._staged_at = path
     return back
