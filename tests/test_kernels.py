@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from voxmill.functions.hashing import poisson_weight
@@ -72,3 +73,33 @@ def test_rows_do_not_carry_their_trees_and_levels_take_few_jobs(spark, make_reco
     compiled = cut(trees.compile_trees(state))
     plain = instances.join(compiled, "model_id").selectExpr("seq", f"{trees.leaf_sql()} AS leaf").collect()
     assert {(r["seq"], r["leaf"]) for r in plain} == {(r["seq"], r["node_id"]) for r in routed.collect()}
+
+
+@pytest.mark.parametrize(("wanted", "chunks"), [((8, "FIMT-DD", "y", R, {}), 1), ((6, "HAT", "lab", C, {}), 3)], ids=["FIMT-DD", "HAT"])
+def test_reactions_to_drift_change_what_few_chunks_answer(spark, make_records, monkeypatch, wanted, chunks):
+    """In one chunk no detector was asked, in three none in time: with or without reactions the answers were the same."""
+    rnd = random.Random(12)
+    rows = []
+    for i in range(3600):
+        a, b = rnd.random(), rnd.random()
+        high = (a > 0.5) != (i >= 1200)
+        rows.append(("s", "d", str(i), {"a": a, "b": b, "lab": "hot" if high else "cold", "y": 100.0 * high + b}))
+    records = cut(make_records(rows))
+    plain, got = trees.adapt_subtrees, []
+    active = cut(control.fold_requests(tables.create_requests(records, [wanted], per_stream=False)))
+    known = active.select("model_id", F.array(F.lit("a"), F.lit("b")).alias("features"))
+    for react in (plain, lambda state, params: state):
+        monkeypatch.setattr(trees, "adapt_subtrees", react)
+        fitted = batch.fit(active, records, chunks, schemas=known)
+        got.append({r["recordID"]: r["prediction"] for r in batch.answer(fitted, records).collect()})
+    assert len(got[0]) == len(got[1]) == 3600
+    assert any(got[0][k] != got[1][k] for k in got[0])
+
+
+def test_trees_without_rows(spark, make_records):
+    records = cut(make_records([("s", "d", str(i), {"a": float(i % 7), "lab": "xy"[i % 2]}) for i in range(40)]))
+    active = cut(control.fold_requests(tables.create_requests(records, [(1, "HoeffdingTree", "lab", C, {})], per_stream=False)))
+    none = batch.fit(active, records.where("seq < 0"), schemas=active.select("model_id", F.array(F.lit("a")).alias("features")))
+    assert batch.answer(none, records).count() == 0
+    gap = batch.fit(active, records.where("seq < 5 OR seq > 35"), 6, previous=none)
+    assert batch.answer(gap, records).count() == 40
